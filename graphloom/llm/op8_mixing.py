@@ -73,7 +73,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col:
     n = named.count()
     if n > most:
         named = named.where(F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 20)) < int((1 << 20) * most / n))
-    sample = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("w")).join(named, "_id").select("domain", "w")
+    named = scratch.save(named, "labelled")
+    if named.count() <= 2 * most:  # so by the hash, but for its scatter
+        named = F.broadcast(named)
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("w")).join(named, "_id").select("domain", words(F.col("w")).alias("w"))
     counted = scratch.save(
         sample.select("domain", F.explode("w").alias("w")).select("domain", F.when(F.col("w") != "", _bucket(F.col("w"))).alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("n")),
         "word-counts",
