@@ -1,23 +1,31 @@
 """Mixing to target weights: soft domain membership, and nonnegative rates by projected gradient.
 
-Domains are the combinations of the label columns. A naive Bayes model over hashed words, fitted on at most
-about TRAIN_ROWS labelled documents, gives every document a posterior over the domains. With n the tokens (words)
-of a document, p its posterior and r its rate, a mixture has sum(r * n * p[d]) expected tokens of domain d.
+Domains are the combinations of the label columns. The classifier is fitted on at most about TRAIN_ROWS labelled
+documents. Its features are the words that a document has, hashed, and the levels of three shapes: the shares of symbols, of
+capitals and of words that repeat the one before. A feature's evidence for a domain is the log ratio of its frequency
+inside and outside the domain, moved towards zero by SHRINK_ERRORS standard errors and by SHRINK_BY, so that only decisive
+features are left and the many weak ones of a long text can't outvote them. A document's score for a domain is the
+log of its share plus the evidence. One in CALIBRATE_EVERY of the labelled rows is kept from this and turns scores into
+posteriors: by the best domain and its lead in whole steps, a posterior is the domain's share of those rows.
+
+With n the tokens (words) of a document, p its posterior and r its rate, a mixture has sum(r * n * p[d]) expected
+tokens of domain d.
 Projected gradient descent fits rates r >= 0 whose expected totals match the targets in the least-squares sense,
 from r = 1 on:
 
-    r <- max(0, r - p . W (A r - t)),   A r = sum(r * n * p),   W = inverse of sum(n * p p^T) where r > 0
+    r <- max(0, r - p . W (A r - t)),   A r = sum(r * n * p),   W = inverse of sum(n * p p^T) + DAMPING * its mean diagonal
 
-This is the gradient step of length 1 / L of the W-weighted squares in the metric that n gives, W taken over the documents
-that the last projection left positive. Should a step not bring the totals nearer, W over all documents is used from
-then on, for which the steps always descend. Each step needs one aggregate of a few numbers. The total that targets are shares of is the largest for which a document purely of the
-domain with the largest target weight has rate 1.
+This is the gradient step of length 1 / L of the W-weighted squares in the metric that n gives, so each step descends. The
+damping keeps W bounded where domains can't be told apart, so that targets out of reach don't call for huge rates. Each
+step needs one aggregate of a few numbers; steps end when the targets are met, or when one gains less than LEAST_GAIN of the squares.
+Rates may be scaled together without changing the mixture: the greatest rate of the documents that are likeliest of the domain with
+the largest target weight becomes 1, so that none of these is repeated and the purest of them all stay.
 
 All of it is DataFrame functions; what comes to the driver is of the size of the domains. The model has
-BUCKETS rows whatever the corpus, so it is broadcast.
+BUCKETS rows at most whatever the corpus, and it is broadcast only if its counted rows are few.
 
-Defined results: rows with one doc_id (null included) are one document with the sum of their words; documents without
-words have the domains' shares among the labelled rows as posterior and no tokens; labels that are null, and labels of
+Defined results: rows with one doc_id (null included) are one document with the sum of their words and evidence; documents
+without words have no evidence but their shapes, and no tokens; a word counts once a row as evidence; equal scores go to the domain that sorts first; labels that are null, and labels of
 unknown documents, aren't learned from; several labels of one document each count; without labels there is one
 domain and every rate is 1; further columns are ignored; an empty table gives an empty result.
 """
@@ -26,6 +34,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,25 +45,53 @@ from graphloom.scratch import Scratch
 
 #: Labelled documents that the classifier is fitted on, about, at most.
 TRAIN_ROWS = 20_000
-BUCKETS = 1 << 13
+#: Buckets of features; a document's first feature is one that all have.
+BUCKETS = 1 << 20
+#: Levels of a shape, from 0 to 1.
+LEVELS = 20
 SMOOTHING = 0.5
-#: Share of a document's log-likelihood that counts, since its words aren't independent.
-TEMPER = 0.5
+SHRINK_ERRORS = 1.0
+SHRINK_BY = 2.0
+CALIBRATE_EVERY = 4
+#: Whole steps of the best domain's lead that are told apart.
+LEADS = 8
+#: Rows of the model up to which it is broadcast.
+BROADCAST_ROWS = 1 << 18
 SEED = 8
 TARGETS = {"quality=1,toxic=0": 0.90, "quality=0,toxic=0": 0.08, "quality=1,toxic=1": 0.01, "quality=0,toxic=1": 0.01}
 MOST_DOMAINS = 64
 STEPS = 60
-TOLERANCE = 1e-6
+#: Distance to the targets, as a share of their total, at which they count as met.
+TOLERANCE = 1e-4
+LEAST_GAIN = 1e-3
+DAMPING = 0.1
 #: Steps after which rates are written, so that the plan doesn't grow on.
 WRITE_EVERY = 10
 
 
 def words(text: Column) -> Column:
-    return F.split(F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), ".,;:!?|\n\t", " " * 9), " ")
+    split = F.split(F.translate(F.lower(text), ".,;:!?|\n\t", " " * 9), " ")
+    return F.filter(split, lambda w: w != "")
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def _with_features(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
+    """(_id, *keep, n_tokens, pos, bucket): a row per document and feature, and its number of words."""
+    read = docs.select(F.col(id_col).alias("_id"), *keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    read = read.select("_id", *keep, "_text", words(F.col("_text")).alias("_words"))
+    again = F.filter(F.zip_with("_words", F.slice("_words", 2, F.size("_words")), lambda a, b: a == b), lambda same: same)
+
+    def level(part: Column, whole: Column) -> Column:
+        return F.floor(LEVELS * part / F.greatest(whole, F.lit(1))).cast("string")
+
+    symbols, capitals = (F.length(F.regexp_replace("_text", drop, "")) for drop in (r"[\p{L}\p{N}\s]+", r"[^\p{Lu}]+"))
+    # words have no blanks, so shapes are none of them
+    shapes = F.array(F.lit(" all"), *(F.concat(F.lit(f" {name} "), x) for name, x in (
+        ("symbols", level(symbols, F.length("_text"))),
+        ("capitals", level(capitals, F.length("_text"))),
+        ("again", level(F.size(again), F.size("_words"))),
+    )))
+    listed = read.select("_id", *keep, F.size("_words").alias("n_tokens"), F.posexplode(F.concat(shapes, F.array_distinct("_words"))).alias("pos", "w"))
+    return listed.select("_id", *keep, "n_tokens", "pos", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket"))
 
 
 def domain_of(columns: list[str]) -> Column:
@@ -65,57 +103,83 @@ def domain_of(columns: list[str]) -> Column:
 class Classifier:
     domains: list[str]
     shares: list[float]
-    model: DataFrame  # (bucket, l0, l1, ...): log-likelihood of a word in the bucket by domain, less their mean
+    model: DataFrame  # (bucket, l0, l1, ...): evidence of a feature by domain, for features that have any
+    model_rows: int
+    calibration: DataFrame | None = None  # (best, lead, p0, p1, ...): posteriors by best domain and its lead
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", label_cols: tuple[str, ...] = ("quality", "toxic"), most: int = TRAIN_ROWS) -> Classifier:
-    named = labels.select(F.col(id_col).alias("_id"), domain_of(list(label_cols)).alias("domain")).where("_id is not null and domain is not null")
+    named = labels.select(F.col(id_col).alias("_label_id"), domain_of(list(label_cols)).alias("domain")).where("_label_id is not null and domain is not null")
     n = named.count()
     if n > most:
-        named = named.where(F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 20)) < int((1 << 20) * most / n))
+        named = named.where(F.pmod(F.xxhash64("_label_id", F.lit(SEED)), F.lit(1 << 20)) < int((1 << 20) * most / n))
     named = scratch.save(named, "labelled")
     if named.count() <= 2 * most:  # so by the hash, but for its scatter
         named = F.broadcast(named)
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("w")).join(named, "_id").select("domain", words(F.col("w")).alias("w"))
-    counted = scratch.save(
-        sample.select("domain", F.explode("w").alias("w")).select("domain", F.when(F.col("w") != "", _bucket(F.col("w"))).alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("n")),
-        "word-counts",
-    )
-    rows = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").limit(MOST_DOMAINS + 1).collect()}
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_sample_text")).join(named, F.col("_id") == F.col("_label_id"))
+    sample = sample.select("_id", "_sample_text", "domain", (F.pmod(F.xxhash64("_id", F.lit(SEED + 1)), F.lit(CALIBRATE_EVERY)) == 0).alias("kept_out"))
+    listed = _with_features(sample, "_id", "_sample_text", "domain", "kept_out")
+    counted = scratch.save(listed.where("not kept_out").groupBy("domain", "bucket").agg(F.count("*").alias("n"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("docs")), "feature-counts")
+    rows = {r["domain"]: r["n"] for r in counted.groupBy("domain").agg(F.sum("docs").alias("n")).orderBy("domain").limit(MOST_DOMAINS + 1).collect()}
     if len(rows) > MOST_DOMAINS:
         raise ValueError(f"more than {MOST_DOMAINS} combinations of {label_cols}")
     if not rows:
         rows = {"all": 1}
-    domains = sorted(rows)
-    shares = [rows[d] / sum(rows.values()) for d in domains]
-    totals = {r["domain"]: r["n"] for r in counted.where("bucket is not null").groupBy("domain").agg(F.sum("n").alias("n")).collect()}
-    by_domain = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)) for d in domains]
-    logs = [F.log((c + SMOOTHING) / F.lit(totals.get(d, 0) + SMOOTHING * BUCKETS)) for c, d in zip(by_domain, domains)]
-    every = counted.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    raw = every.join(counted.where("bucket is not null"), "bucket", "left").groupBy("bucket").agg(*(x.alias(f"r{k}") for k, x in enumerate(logs)))
-    mean = sum((F.col(f"r{k}") for k in range(len(domains))), F.lit(0.0)) / len(domains)
-    model = scratch.save(raw.select("bucket", *((F.col(f"r{k}") - mean).alias(f"l{k}") for k in range(len(domains)))), "model")
-    return Classifier(domains, shares, model)
+    domains, whole = sorted(rows), sum(rows.values())
+    evidence = []
+    for d in domains:
+        inside = F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)) + SMOOTHING
+        outside = F.coalesce(F.sum(F.when(F.col("domain") != d, F.col("n"))), F.lit(0)) + SMOOTHING
+        ratio = F.log(inside / (rows[d] + 2 * SMOOTHING)) - F.log(outside / (whole - rows[d] + 2 * SMOOTHING))
+        error = F.sqrt(1 / inside + 1 / outside)
+        evidence.append(F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - SHRINK_ERRORS * error - SHRINK_BY))
+    every = counted.groupBy("bucket").agg(*(x.alias(f"l{k}") for k, x in enumerate(evidence)))
+    model = scratch.save(every.where(reduce(or_, (F.col(f"l{k}") != 0 for k in range(len(domains))))), "model")
+    fitted = Classifier(domains, [rows[d] / whole for d in domains], model, model.count())
+    fitted.calibration = scratch.save(_calibration(fitted, listed.where("kept_out")), "calibration")
+    return fitted
+
+
+def _scores(listed: DataFrame, fitted: Classifier, *keep: str) -> DataFrame:
+    """(_id, *keep, n_tokens, best, lead) per _id, from the rows of _with_features()."""
+    k = len(fitted.domains)
+    model = F.broadcast(fitted.model) if fitted.model_rows <= BROADCAST_ROWS else fitted.model
+    sums = listed.join(model, "bucket", "left").groupBy("_id", *keep).agg(
+        F.sum(F.when(F.col("pos") == 0, F.col("n_tokens")).otherwise(0)).alias("n_tokens"),
+        *((F.coalesce(F.sum(f"l{d}"), F.lit(0.0)) + math.log(s)).alias(f"s{d}") for d, s in enumerate(fitted.shares)),
+    )
+    ranked = F.sort_array(F.array(*(F.struct(F.col(f"s{d}").alias("s"), F.lit(-d).alias("d")) for d in range(k))), False)
+    sums = sums.select("_id", *keep, "n_tokens", ranked.alias("ranked"))
+    lead = F.floor(F.col("ranked")[0]["s"] - F.col("ranked")[1]["s"]) if k > 1 else F.lit(0)
+    return sums.select("_id", *keep, "n_tokens", (-F.col("ranked")[0]["d"]).alias("best"), F.least(lead, F.lit(LEADS - 1)).cast("int").alias("lead"))
+
+
+def _calibration(fitted: Classifier, kept_out: DataFrame) -> DataFrame:
+    """Shares of the domains by best domain and lead. The scores' own posterior weighs as much as one row."""
+    k = len(fitted.domains)
+    seen = _scores(kept_out, fitted, "domain").groupBy("best", "lead").agg(*(F.sum(F.when(F.col("domain") == d, 1.0).otherwise(0.0)).alias(f"c{j}") for j, d in enumerate(fitted.domains)))
+    every = kept_out.sparkSession.range(k * LEADS).select(F.floor(F.col("id") / LEADS).cast("int").alias("best"), F.pmod("id", F.lit(LEADS)).cast("int").alias("lead"))
+    top = 1 / (1 + (k - 1) * F.exp(-(F.col("lead") + 0.5)))
+    own = []
+    for j, share in enumerate(fitted.shares):
+        rest = [(1 - top) * share / (1 - s) if s < 1 else F.lit(0.0) for s in fitted.shares]
+        own.append(F.element_at(F.array(*(top if j == b else rest[b] for b in range(k))), F.col("best") + 1))
+    counts = [F.coalesce(F.col(f"c{j}"), F.lit(0.0)) for j in range(k)]
+    total = sum(counts, F.lit(1.0))
+    return every.join(seen, ["best", "lead"], "left").select("best", "lead", *(((c + o) / total).alias(f"p{j}") for j, (c, o) in enumerate(zip(counts, own))))
 
 
 def posteriors(docs: DataFrame, fitted: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, p0, p1, ...) per doc_id."""
-    k = len(fitted.domains)
-    each = docs.select(F.col(id_col).alias("doc_id"), F.explode(words(F.col(text_col))).alias("w")).select("doc_id", F.when(F.col("w") != "", _bucket(F.col("w"))).alias("bucket"))
-    met = each.join(F.broadcast(fitted.model), "bucket", "left")  # BUCKETS rows
-    sums = met.groupBy("doc_id").agg(F.count("bucket").alias("n_tokens"), *(F.coalesce(F.sum(f"l{d}"), F.lit(0.0)).alias(f"s{d}") for d in range(k)))
-    logits = [F.lit(math.log(s)) + TEMPER * F.col(f"s{d}") for d, s in enumerate(fitted.shares)]
-    sums = sums.select("doc_id", "n_tokens", *(x.alias(f"s{d}") for d, x in enumerate(logits)))
-    top = F.greatest(*(F.col(f"s{d}") for d in range(k))) if k > 1 else F.col("s0")
-    sums = sums.select("doc_id", "n_tokens", *(F.exp(F.col(f"s{d}") - top).alias(f"e{d}") for d in range(k)))
-    total = sum((F.col(f"e{d}") for d in range(k)), F.lit(0.0))
-    return sums.select("doc_id", "n_tokens", *((F.col(f"e{d}") / total).alias(f"p{d}") for d in range(k)))
+    scored = _scores(_with_features(docs, id_col, text_col), fitted)
+    met = scored.join(F.broadcast(fitted.calibration), ["best", "lead"])  # LEADS rows a domain
+    return met.select(F.col("_id").alias("doc_id"), "n_tokens", *(f"p{d}" for d in range(len(fitted.domains))))
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
-    """Gauss elimination with a small ridge, for a symmetric matrix of the domains' number."""
+    """Gauss elimination, for a damped symmetric matrix of the domains' number."""
     n = len(right)
-    ridge = 1e-12 * max(sum(matrix[k][k] for k in range(n)), 1e-300)
+    ridge = DAMPING * sum(matrix[k][k] for k in range(n)) / n
     rows = [[*matrix[k], right[k]] for k in range(n)]
     for k in range(n):
         rows[k][k] += ridge
@@ -130,45 +194,46 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], scratch: Scratch, steps: int = STEPS) -> DataFrame:
-    """members (doc_id, n_tokens, p0, ...) with a column rate; raises RuntimeError if steps are not enough to settle."""
+    """members (doc_id, n_tokens, p0, ...) with a column rate."""
     k = len(domains)
     weights = [targets.get(d, 0.0) for d in domains]
     if not sum(weights):
         weights = [1.0] * k
     weights = [w / sum(weights) for w in weights]
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
+    n = F.col("n_tokens")
 
-    def measure(df: DataFrame, rate: Column) -> tuple[list[float], list[list[float]]]:
-        """A r, and sum(n * p p^T) where r > 0."""
-        n = F.col("n_tokens")
-        totals = [F.sum(rate * n * F.col(f"p{d}")).alias(f"a{d}") for d in range(k)]
-        row = df.agg(*totals, *(F.sum(F.when(rate > 0, n * F.col(f"p{a}") * F.col(f"p{b}"))).alias(f"g{a}_{b}") for a, b in pairs)).first()
-        return [float(row[f"a{d}"] or 0) for d in range(k)], [[float(row[f"g{min(a, b)}_{max(a, b)}"] or 0) for b in range(k)] for a in range(k)]
+    def totals(df: DataFrame, rate: Column) -> list[float]:
+        row = df.agg(*(F.sum(rate * n * F.col(f"p{d}")).alias(f"a{d}") for d in range(k))).first()
+        return [float(row[f"a{d}"] or 0) for d in range(k)]
 
-    got, gram = measure(members, F.lit(1.0))
-    best = max(range(k), key=lambda d: weights[d])
+    row = members.agg(*(F.sum(n * F.col(f"p{a}") * F.col(f"p{b}")).alias(f"g{a}_{b}") for a, b in pairs)).first()
+    gram = [[float(row[f"g{min(a, b)}_{max(a, b)}"] or 0) for b in range(k)] for a in range(k)]
     if not any(gram[d][d] for d in range(k)):
         return members.withColumn("rate", F.lit(1.0))
-    share = _solve(gram, weights)[best]
-    total = 1 / share if share > 0 else sum(map(sum, gram))
-    goal = [w * total for w in weights]
-    now, rate = members.withColumn("rate", F.lit(1.0)), F.col("rate")
-    before, active = math.inf, gram
+    got = totals(members, F.lit(1.0))
+    best = max(range(k), key=lambda d: weights[d])
+    total = got[best] / weights[best] if got[best] else sum(got)
+    now, rate, before = members.withColumn("rate", F.lit(1.0)), F.col("rate"), math.inf
     for step in range(1, steps + 1):
-        off = [a - g for a, g in zip(got, goal)]
-        size = math.sqrt(sum(x * x for x in off)) / total
-        if size <= TOLERANCE or abs(before - size) <= TOLERANCE * size:  # reached, or as near as nonnegative rates come
-            return now.withColumn("rate", rate)
-        if size > before:
-            active = None
-        before = size
-        move = _solve(active or gram, off)
+        off = [a - w * total for a, w in zip(got, weights)]
+        move = _solve(gram, off)
+        squares = sum(x * y for x, y in zip(off, move))
+        if math.sqrt(sum(x * x for x in off)) <= TOLERANCE * total or before - squares <= LEAST_GAIN * before < math.inf:
+            break
+        before = squares
         rate = F.greatest(F.lit(0.0), rate - sum((F.lit(m) * F.col(f"p{d}") for d, m in enumerate(move)), F.lit(0.0)))
         if step % WRITE_EVERY == 0:
             now, rate = scratch.save(now.withColumn("rate", rate), f"rates-{step}"), F.col("rate")
-        got, positive = measure(now, rate)
-        active = active and positive
-    raise RuntimeError(f"rates did not settle in {steps} steps")
+        got = totals(now, rate)
+    return _scaled(now.withColumn("rate", rate), best, k)
+
+
+def _scaled(fitted: DataFrame, best: int, k: int) -> DataFrame:
+    """Rates in the same proportions, with 1 as the greatest of the documents that are likeliest of the domain best."""
+    likeliest = reduce(and_, (F.col(f"p{best}") >= F.col(f"p{d}") for d in range(k)))
+    top = fitted.where(likeliest).agg(F.max("rate").alias("top")).first()["top"]
+    return fitted.withColumn("rate", F.col("rate") / top) if top else fitted
 
 
 def copies(rate: Column, key: Column) -> Column:

@@ -214,6 +214,37 @@ def test_mixing(spark, docs, tmp_path):
     assert {r.rate for r in op8_mixing.op8_mixing(spark, d).collect()} == {1.0}
 
 
+def test_mixing_keeps_clean_texts(spark, tmp_path):
+    """Long texts with a rare decisive word, and two dialects that lean to one domain without deciding."""
+    rng = random.Random(9)
+    dialects = [[f"a{k}" for k in range(400)], [f"b{k}" for k in range(400)]]
+    rows, labels = [], []
+    for k in range(600):
+        toxic = int(k % 6 == 0)
+        text = rng.choices(dialects[rng.random() < (0.7 if toxic else 0.4)], k=rng.randrange(20, 300))
+        text += rng.sample([f"insult{j}" for j in range(4)], 2) * toxic
+        rows.append((k, " ".join(text)))
+        if k % 3 < 2:
+            labels.append((k, 1, toxic))
+    d = folder(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path, "documents")
+    folder(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    targets = {"quality=1,toxic=0": 0.98, "quality=1,toxic=1": 0.02}
+    rates, domains = op8_mixing.mixing_rates(op8_mixing.table(spark, d, "documents"), op8_mixing.table(spark, d, "labels"), targets)
+    found = rates.collect()
+    clean, bad = ([r.rate for r in found if bool(r.doc_id % 6) == x] for x in (True, False))
+    assert max(clean) == pytest.approx(1) and sum(clean) / len(clean) > 0.97 and max(bad) < 0.2
+    totals = [sum(r.rate * r.n_tokens * r[f"p{k}"] for r in found) for k in range(len(domains))]
+    assert totals[1] / sum(totals) == pytest.approx(0.02, abs=0.01)
+
+
+def test_mixing_out_of_reach(spark):
+    """One posterior for all: no rates meet the targets, and none grow without bound."""
+    members = spark.createDataFrame([(k, 10 + k, 0.7, 0.2, 0.1) for k in range(50)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+    scratch = op8_mixing.Scratch(spark, "test")
+    found = op8_mixing.fit_rates(members, ["a", "b", "c"], {"a": 0.1, "b": 0.1, "c": 0.8}, scratch).collect()
+    assert len({round(r.rate, 9) for r in found}) == 1 and 0 < found[0].rate <= 10
+
+
 PAGES = [
     (1, "http://h.org/a", "<body><div>Welcome to our site and please do accept all cookies</div><p>One unique text &amp; more</p></body>"),
     (2, "http://h.org/b", "<body><div>Welcome to our site and please do accept all cookies</div><p>Another\n  text &#233;</p></body>"),
