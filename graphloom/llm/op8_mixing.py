@@ -144,7 +144,8 @@ def _scores(listed: DataFrame, fitted: Classifier, *keep: str) -> DataFrame:
     """(_id, *keep, n_tokens, best, lead) per _id, from the rows of _with_features()."""
     k = len(fitted.domains)
     model = F.broadcast(fitted.model) if fitted.model_rows <= BROADCAST_ROWS else fitted.model
-    sums = listed.join(model, "bucket", "left").groupBy("_id", *keep).agg(
+    met = listed.join(model, "bucket", "left").where("pos = 0 or l0 is not null")  # a row per document, and those with evidence
+    sums = met.groupBy("_id", *keep).agg(
         F.sum(F.when(F.col("pos") == 0, F.col("n_tokens")).otherwise(0)).alias("n_tokens"),
         *((F.coalesce(F.sum(f"l{d}"), F.lit(0.0)) + math.log(s)).alias(f"s{d}") for d, s in enumerate(fitted.shares)),
     )
@@ -194,8 +195,13 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], scratch: Scratch, steps: int = STEPS) -> DataFrame:
-    """members (doc_id, n_tokens, p0, ...) with a column rate."""
+    """members (doc_id, n_tokens, p0, ...) with a column rate. Documents with the same posterior have the same rate and are fitted as one."""
     k = len(domains)
+    ps = [f"p{d}" for d in range(k)]
+    groups = scratch.save(members.groupBy(*ps).agg(F.sum("n_tokens").alias("n_tokens")), "groups")
+    few = groups.count() <= BROADCAST_ROWS
+    if few:
+        groups = scratch.save(groups.coalesce(1), "few-groups")
     weights = [targets.get(d, 0.0) for d in domains]
     if not sum(weights):
         weights = [1.0] * k
@@ -207,14 +213,14 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
         row = df.agg(*(F.sum(rate * n * F.col(f"p{d}")).alias(f"a{d}") for d in range(k))).first()
         return [float(row[f"a{d}"] or 0) for d in range(k)]
 
-    row = members.agg(*(F.sum(n * F.col(f"p{a}") * F.col(f"p{b}")).alias(f"g{a}_{b}") for a, b in pairs)).first()
+    row = groups.agg(*(F.sum(n * F.col(f"p{a}") * F.col(f"p{b}")).alias(f"g{a}_{b}") for a, b in pairs)).first()
     gram = [[float(row[f"g{min(a, b)}_{max(a, b)}"] or 0) for b in range(k)] for a in range(k)]
     if not any(gram[d][d] for d in range(k)):
         return members.withColumn("rate", F.lit(1.0))
-    got = totals(members, F.lit(1.0))
+    got = totals(groups, F.lit(1.0))
     best = max(range(k), key=lambda d: weights[d])
     total = got[best] / weights[best] if got[best] else sum(got)
-    now, rate, before = members.withColumn("rate", F.lit(1.0)), F.col("rate"), math.inf
+    now, rate, before = groups.withColumn("rate", F.lit(1.0)), F.col("rate"), math.inf
     for step in range(1, steps + 1):
         off = [a - w * total for a, w in zip(got, weights)]
         move = _solve(gram, off)
@@ -226,7 +232,8 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
         if step % WRITE_EVERY == 0:
             now, rate = scratch.save(now.withColumn("rate", rate), f"rates-{step}"), F.col("rate")
         got = totals(now, rate)
-    return _scaled(now.withColumn("rate", rate), best, k)
+    rates = _scaled(now.withColumn("rate", rate), best, k).select(*ps, "rate")
+    return members.join(F.broadcast(rates) if few else rates, ps)
 
 
 def _scaled(fitted: DataFrame, best: int, k: int) -> DataFrame:
