@@ -70,8 +70,7 @@ WRITE_EVERY = 10
 
 
 def words(text: Column) -> Column:
-    split = F.split(F.translate(F.lower(text), ".,;:!?|\n\t", " " * 9), " ")
-    return F.filter(split, lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[ .,;:!?|\n\t]+"), "")
 
 
 def _with_features(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
