@@ -217,4 +217,20 @@ def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_lattice": op3_lattice}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_lattice": f"""WITH RECURSIVE numbered AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ part AS MATERIALIZED (
+   SELECT n, v FROM numbered
+   WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+ link AS MATERIALIZED (
+   SELECT a.n AS a, b.n AS b FROM part a JOIN part b ON a.n <> b.n
+   WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= {COSINE} ELSE false END),
+ reach(id, label) USING KEY (id) AS (
+   SELECT n, n FROM numbered
+   UNION
+   SELECT link.b, min(reach.label) FROM reach JOIN link ON link.a = reach.id JOIN recurring.reach r ON r.id = link.b WHERE reach.label < r.label GROUP BY link.b),
+ degree AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+ named AS (SELECT vec_id, id, min(vec_id) OVER (PARTITION BY label) AS component_id FROM reach JOIN numbered ON n = id)
+ SELECT vec_id, coalesce(degree.n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+ FROM named LEFT JOIN degree ON degree.a = named.id"""
+}

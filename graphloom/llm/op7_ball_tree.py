@@ -179,4 +179,14 @@ def op7_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_ball_tree": op7_ball_tree}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op7_ball_tree": f"""WITH part AS MATERIALIZED (
+   SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({FACTOR} * CAST(x AS DOUBLE))) AS v FROM embeddings
+   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= {LARGEST})) = 0),
+ wide AS MATERIALIZED (SELECT n, vec_id, list_resize(v, (SELECT greatest(max(len(v)), 1) FROM part), 0) AS v FROM part),
+ scored AS (
+   SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+   FROM wide q JOIN wide c ON q.n <> c.n WHERE q.vec_id % {QUERY_EVERY} = 0)
+ SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+ FROM scored QUALIFY rank <= {K}"""
+}

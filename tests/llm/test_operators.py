@@ -168,6 +168,17 @@ def vectors(spark, tmp_path):
     return rows, folder(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tmp_path, "embeddings")
 
 
+@pytest.mark.parametrize("module", [op3_lattice, op7_ball_tree])
+def test_vector_sql(spark, tmp_path, module):
+    _, d = vectors(spark, tmp_path)
+    ((name, query),), con = module.QUERIES.items(), duckdb.connect()
+    for folder_ in (d, "/root/testdata/sf0.001"):
+        con.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{folder_}/embeddings.parquet{'/*.parquet' * (folder_ == d)}'")
+        sql = con.execute(module.ORACLE[name])
+        names, expected = [c[0] for c in sql.description], sorted(map(str, sql.fetchall()))
+        assert sorted(str(tuple(r[c] for c in names)) for r in query(spark, folder_).collect()) == expected != []
+
+
 def test_lattice(spark, tmp_path):
     rows, d = vectors(spark, tmp_path)
     good = [v and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, _ in rows]
