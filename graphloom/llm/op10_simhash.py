@@ -100,17 +100,22 @@ def links(classes: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp, component_id) per row of docs; component_id: the smallest doc_id reachable by links."""
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) per row of docs, and (fp, root, component_id) per class; root is one per component."""
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.save(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies")), "classes")
+    classes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     found = scratch.save(links(classes), "links")
     labels = component_labels(found, "a", "b", Scratch(docs.sparkSession, "simhash-components"))
     rooted = scratch.save(classes.join(labels, classes.fp == labels.id, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root")), "rooted")
     # only classes with links meet others; the rest are their own component
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = scratch.save(rooted.join(smallest, "root").select("fp", "component_id"), "components")
+    return marked, scratch.save(rooted.join(smallest, "root").select("fp", "root", "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, fp, component_id) per row of docs; component_id: the smallest doc_id reachable by links."""
+    marked, of_class = _components(docs, id_col, text_col, words)
     return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -120,14 +125,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays.
+    """Pipeline stage: of each component one row stays, with the smallest doc_id.
 
-    A doc_id that occurs several times with one content stays once; rows without doc_id stay if their
-    component has no id at all.
+    Of several rows of a component with that doc_id, or without any id in it, the one with the smallest hash of its
+    text stays. Rows whose doc_id is null or repeated are numbered and fingerprinted once more, as their id doesn't tell them apart.
     """
-    names = docs.columns
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(names)
+    names, scratch = docs.columns, Scratch(spark, "simhash-kept")
+    marked, of_class = _components(docs, "doc_id", "text", SHINGLE_WORDS)
+    first = F.coalesce(F.bool_or(F.col("doc_id") == F.col("component_id")), F.lit(False))
+    ids = marked.join(of_class, "fp").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"), first.alias("first"))
+    ids = scratch.save(ids.where("first or _id is null").select("_id", (F.col("_id").isNotNull() & (F.col("n") == 1)).alias("plain")), "ids")
+    single = docs.join(ids.where("plain").select("_id"), F.col("doc_id") == F.col("_id"), "left_semi").select(names)
+    odd = ids.where("not plain").select("_id")
+    if odd.isEmpty():
+        return single
+    rows = scratch.save(docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_row", F.monotonically_increasing_id()), "repeated")
+    placed = fingerprints(rows, "_row").withColumnRenamed("doc_id", "_row").join(of_class, "fp")
+    placed = placed.join(rows.select("_row", "doc_id", F.xxhash64("text").alias("_hash")), "_row").where("doc_id <=> component_id")
+    stays = placed.groupBy("root").agg(F.min(F.struct("_hash", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
+    return single.unionByName(rows.join(stays, "_row", "left_semi").select(names))
 
 
 QUERIES = {"op10_simhash": op10_simhash}

@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from graphloom.llm import op1_html_text, op2_token_counts, op3_lattice, op4_token_files, op5_language_id, op6_byte_bpe, op7_ball_tree, op8_mixing, op9_pii, op10_simhash
 
 from .brute_pii import base_spans, digest
@@ -147,6 +148,28 @@ def test_simhash(spark, docs, tmp_path):
     assert 6 in kept and 7 not in kept and {0, 1, 2} & set(kept) == {0}
 
 
+def test_one_row_of_each_group_stays(spark, docs):
+    """Rows repeated with id and text, one id with texts of two groups, and rows without id."""
+    cat, dog = "the cat sat on the mat and went to sleep", "some dogs run after every ball that anyone throws"
+    rows = [(1, cat), (2, dog), (2, dog), (2, cat), (7, "seven words that no other row has here"), (7, "another row of seven and not like it")]
+    rows += [(None, cat), (None, "nobody has given this row a number"), (None, "nobody has given this row a number"), (9, None), (9, None)]
+    kept = op10_simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1)), "").collect()
+    expected = [(1, cat), (2, dog), *rows[4:6], rows[7], (9, None)]
+    assert sorted(str((r.doc_id, r.text)) for r in kept) == sorted(map(str, expected)) and {r.kept for r in kept} == {1}
+    every = op10_simhash.keep_one(spark, docs, "")
+    assert every.columns == docs.columns and every.count() == len({brute_fingerprint(t) for _, t in texts(docs)})
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages_on_empty_and_odd_documents(spark, docs, tmp_path, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    folder(spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    nothing = docs.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
+    n = {"language_id": 0, "simhash_dedup": 1}.get(name, docs.count())
+    assert stage(spark, nothing, str(tmp_path)).count() == n
+
+
 def test_language(spark, docs, tmp_path):
     assert {r.lang_pred for r in op5_language_id.op5_language_id(spark, folder(docs.withColumn("lang", F.lit(None).cast("string")), tmp_path, "documents")).collect()} == {"und"}
     words = {"en": "the of and with this that from these", "de": "der die und nicht schön über weiß auch", "fr": "où les très après été aussi même avec"}
