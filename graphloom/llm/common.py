@@ -19,8 +19,19 @@ def tokenizer_bytes(path: str) -> bytes:
         return f.read()
 
 
+#: Rows whose Python values are held at a time.
+ROWS = 1024
+
+
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ROWS rows, without copying."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, ROWS):
+            yield batch.slice(begin, ROWS)
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
-    """Apply to every Arrow batch of df the function that make() returns once per task.
+    """Apply to Arrow batches of df, of at most ROWS rows, the function that make() returns once per task.
 
     The function returns the columns of schema in order. Rows stay in the partition they are in.
     """
@@ -28,7 +39,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = None
-        for batch in batches:
+        for batch in pieces(batches):
             apply = apply or make()
             yield pa.RecordBatch.from_arrays(apply(batch), names=names)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_batches, once_per_worker, table
+from graphloom.llm.common import map_batches, once_per_worker, pieces, table
 
 DIMENSIONS = 512
 SEED = 5
@@ -34,7 +34,9 @@ UNDETERMINED = "und"
 #: Prototype sums are of whole multiples of 1 / SCALE.
 SCALE = 1 << 20
 #: Cells of the count matrix that is multiplied at once.
-CELLS = 1 << 22
+CELLS = 1 << 21
+#: Characters that are turned into codes at a time, about.
+CHARACTERS = 1 << 19
 
 
 class Profiles:
@@ -55,14 +57,14 @@ class Profiles:
     def bundle(self, texts: list[str]) -> np.ndarray:
         """(len(texts), dimensions) sums of trigram vectors; zero where a text has no letter."""
         out = np.zeros((len(texts), self.dimensions), np.float32)
-        codes = [np.frombuffer(t.lower().encode("utf-32-le", "replace"), "<u4") for t in texts]
         begin = 0
-        while begin < len(codes):  # about 2**20 characters at a time, or one text
+        while begin < len(texts):  # about CHARACTERS at a time, or one text
             end, held = begin, 0
-            while end < len(codes) and (end == begin or held + len(codes[end]) <= 1 << 20):
-                held += len(codes[end])
+            while end < len(texts) and (end == begin or held + len(texts[end]) <= CHARACTERS):
+                held += len(texts[end])
                 end += 1
-            self._bundle(codes[begin:end], out[begin:end])
+            codes = [np.frombuffer(t.lower().encode("utf-32-le", "replace"), "<u4") for t in texts[begin:end]]
+            self._bundle(codes, out[begin:end])
             begin = end
         return out
 
@@ -128,7 +130,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, key_col: str, most: i
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = once_per_worker("profiles", Profiles)
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             langs = batch.column(1).to_pylist()
             vectors = np.rint(_normalised(profiles.bundle(batch.column(0).to_pylist())) * SCALE).astype(np.int64)
             for lang in set(langs):
@@ -196,7 +198,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = once_per_worker("profiles", Profiles)
         at = names.index("text")
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             best = (_normalised(profiles.bundle(texts)) @ prototypes.T).max(1, initial=0.0)
             yield batch.filter(pa.array((best >= LEAST_COSINE) & np.array([_has_letter(t) for t in texts], bool)))

@@ -20,7 +20,6 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import WordCache, broadcast_file, map_batches, once_per_worker, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
+#: Words whose ids each of the two caches of a worker holds at most.
+CACHED = 1 << 17
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -94,8 +95,12 @@ class ByteBpe:
         self.find = regex.compile(pattern).findall
         letters = byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
-        self.words = WordCache(self._cut)
-        self.after_blank = WordCache(lambda words: self._cut([" " + w for w in words]))
+        self.words = WordCache(self._packed, CACHED)
+        self.after_blank = WordCache(lambda words: self._packed([" " + w for w in words]), CACHED)
+
+    def _packed(self, texts: list[str]) -> Iterable[bytes]:
+        """Ids as little-endian 32-bit integers, which take less memory than lists."""
+        return (struct.pack(f"<{len(ids)}I", *ids) for ids in self._cut(texts))
 
     def _cut(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text by itself; all pre-tokens go through the model in one call."""
@@ -121,12 +126,14 @@ class ByteBpe:
     #: White space, a blank, white space or the end: a run that must not be cut at that blank.
     _RUN = re.compile(r"\s (?=\s|\Z)")
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """The ids, as 32-bit integers."""
         if self._RUN.search(text):
-            parts = re.split(r"(?<=\S)(?=\s)", text)
-            return list(chain.from_iterable(self.words.values(parts)))
-        first, *rest = text.split(" ")
-        return list(chain(*self.words.values([first]), chain.from_iterable(self.after_blank.values(rest))))
+            found = self.words.values(re.split(r"(?<=\S)(?=\s)", text))
+        else:
+            first, *rest = text.split(" ")
+            found = self.words.values([first]) + self.after_blank.values(rest)
+        return np.frombuffer(b"".join(found), "<u4")
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -148,12 +155,13 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         def apply(batch: pa.RecordBatch) -> list[pa.Array]:
             counts, shas, back, kept = [], [], [], []
             for text in batch.column(1).to_pylist():
-                found = bpe.encode(text or "")
+                packed = bpe.encode(text or "")
+                found = packed.tolist()
                 counts.append(len(found))
                 shas.append(hashlib.sha256(" ".join(map(spelled.__getitem__, found)).encode()).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(found)).hexdigest())
                 if ids:
-                    kept.append(np.array(found, "<u4").tobytes())
+                    kept.append(packed.tobytes())
             return [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())] + [pa.array(kept, pa.binary())] * ids
 
         return apply
