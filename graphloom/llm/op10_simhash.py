@@ -135,7 +135,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.coalesce(F.bool_or(F.col("doc_id") == F.col("component_id")), F.lit(False))
     ids = marked.join(of_class, "fp").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"), first.alias("first"))
     ids = scratch.save(ids.where("first or _id is null").select("_id", (F.col("_id").isNotNull() & (F.col("n") == 1)).alias("plain")), "ids")
-    single = docs.join(ids.where("plain").select("_id"), F.col("doc_id") == F.col("_id"), "left_semi").select(names)
+    # hashed ids, of few bytes a row, and no sort of the texts
+    single = docs.join(ids.where("plain").select("_id").hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi").select(names)
     odd = ids.where("not plain").select("_id")
     if odd.isEmpty():
         return single
