@@ -2,16 +2,19 @@
 
 A page is parsed into blocks. Blocks inside <article> or <main> are content; blocks inside menus, headers, footers,
 sidebars, forms, notices, adverts and comments (by element or by the words of class, id and role) are not. What stands
-in neither is undecided, and there the host's pages are compared: their undecided and rejected blocks are
-concatenated to token streams, all suffixes are put in order by host and their first WINDOW tokens, and where neighbours
-agree on those tokens but come from different pages, the tokens are boilerplate. Undecided tokens that such
-a repeated run covers are removed, unique runs stay. Only the depth WINDOW of the suffix array matters for
-that, so it is held as one row per suffix, (host, hash of the first WINDOW tokens), grouped with partial aggregation: a
-host with a third of all pages is spread over all tasks, and no stream is ever gathered in one place. A block of
-fewer tokens is a window by itself.
+in neither is undecided, and there the host's pages are compared: a page's undecided blocks are concatenated to one
+token stream, and all suffixes of the host's streams are put in order by their first WINDOW tokens, in sorted ranges.
+Where neighbours of different pages have these tokens in common, the tokens are a repeated run, and a longer run is
+covered by the suffixes that begin in it. Undecided tokens that a repeated run covers are removed, others stay. Runs go
+across blocks, so a block of fewer tokens goes only as part of a longer run, and streams of fewer than WINDOW tokens
+stay whole. Tokens are compared by 32 bits of their hashes, which order them.
+
+The order is by host, tokens, page and place, dealt in ranges: a host with a third of all pages, or a line that all
+pages have, is spread over several tasks. What stands equal across the end of a range is settled by the ranges' first and
+last tokens, a row or two a range.
 
 Articles are kept even where pages repeat them, as mirrored articles are main text; identical streams, as of
-mirrored pages, count as one page.
+mirrored pages, count as one page. Adverts and menus that markup rejects aren't part of a stream, and are no evidence.
 
 Defined results: null and empty html give the empty text; a null url is a host of its own; rows with equal
 page_id are separate pages; white space inside a block becomes one blank, blocks are joined by a newline; text
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_batches, table
+from graphloom.llm.common import map_batches, pieces, table
 from graphloom.scratch import Scratch
 
 #: Tokens that a run must have to count as repeated.
 WINDOW = 8
+#: Suffixes of a long page that are written at a time.
+PIECE = 1 << 14
 
 CONTENT, UNDECIDED, REJECTED = 0, 1, 2
 
@@ -165,17 +171,17 @@ def _hash(tokens: list[str]) -> list[int]:
     return [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) for t in tokens]
 
 
-def window_hashes(text: str, window: int = WINDOW) -> np.ndarray:
-    """A signed hash of the tokens of each window; one for the whole block if it is shorter."""
-    hashes = np.array(_hash(text.split()), np.uint64)
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    width = min(window, len(hashes))
-    out = np.full(len(hashes) - width + 1, width, np.uint64)
-    for k in range(width):
-        out = (out ^ hashes[k : len(hashes) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+def stream_of(texts: list[str], zones: list[int]) -> list[str]:
+    """The tokens of a page's undecided blocks, in page order."""
+    return [t for text, z in zip(texts, zones) if z == UNDECIDED for t in text.split()]
+
+
+def windows(tokens: list[str], window: int = WINDOW) -> np.ndarray:
+    """A row per suffix of at least so many tokens: the hashes of its first ones, in 32 bits each."""
+    hashes = (np.array(_hash(tokens), np.uint64) >> np.uint64(32)).astype(">u4")
+    if len(hashes) < window:
+        return np.zeros((0, window), ">u4")
+    return np.lib.stride_tricks.sliding_window_view(hashes, window)
 
 
 def _host(url: str | None) -> str | None:
@@ -199,49 +205,118 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return map_batches(chosen, "page_id long, url string, host string, texts array<string>, zones array<int>", make)
 
 
-def suffixes(parsed: DataFrame) -> DataFrame:
-    """(host, h, row, stream, block, undecided): the first WINDOW tokens of each suffix outside content, hashed."""
-    schema = "host string, h long, row long, stream long, block int, undecided boolean"
+def suffixes(undecided: DataFrame) -> DataFrame:
+    """(key, stream, row, at): each suffix of the undecided streams by its host's hash and its first WINDOW tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            columns: list[list] = [[], [], [], [], [], []]
+        for batch in pieces(batches):
             for row, host, texts, zones in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                outside = [(k, t, z) for k, (t, z) in enumerate(zip(texts, zones)) if z != CONTENT]
-                stream = xxhash.xxh64_intdigest("\n".join(t for _, t, _ in outside).encode("utf-8", "replace")) >> 1
-                for k, text, zone in outside:
-                    hashes = window_hashes(text).tolist()
-                    for column, value in zip(columns, (host, None, row, stream, k, zone == UNDECIDED)):
-                        column.extend(hashes if value is None and column is columns[1] else [value] * len(hashes))
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "h", "row", "stream", "block", "undecided"])
-
-    return parsed.select("row", "host", "texts", "zones").mapInArrow(run, schema)
-
-
-def unique_runs(text: str, repeated: set[int], window: int = WINDOW) -> str:
-    """The tokens of a block that no repeated window covers."""
-    tokens = text.split()
-    covered = np.zeros(len(tokens), bool)
-    width = min(window, len(tokens))
-    for at, h in enumerate(window_hashes(text, window).tolist()):
-        if h in repeated:
-            covered[at : at + width] = True
-    return " ".join(t for t, c in zip(tokens, covered.tolist()) if not c)
+                tokens = stream_of(texts, zones)
+                found = windows(tokens)
+                n = len(found)
+                if not n:
+                    continue
+                stream = _hash([" ".join(tokens)])[0] >> 1
+                place = struct.pack(">Q", 0 if host is None else _hash([host])[0] | 1)
+                for begin in range(0, n, PIECE):
+                    part = found[begin : begin + PIECE]
+                    keys = [place + w.tobytes() for w in part]
+                    columns = [pa.array(keys, pa.binary()), *(pa.array(np.full(len(part), x, np.int64)) for x in (stream, row)), pa.array(np.arange(begin, begin + len(part)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "stream", "row", "at"])
+
+    return undecided.select("row", "host", "texts", "zones").mapInArrow(run, "key binary, stream long, row long, at long")
+
+
+def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, at, key, lo, hi) of the repeated suffixes in a sorted range.
+
+    lo and hi are the least and greatest stream with these tokens. The first and the last tokens of the range may go
+    on in another one, so their suffixes have a key, whether repeated or not; key is null where the range decides.
+    """
+    names = ["row", "at", "key", "lo", "hi"]
+    width = 8 + 4 * WINDOW
+
+    def out(rows: np.ndarray, ats: np.ndarray, key: bytes | None, lo: int, hi: int) -> pa.RecordBatch:
+        n = len(rows)
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(ats), pa.array([key] * n, pa.binary()), pa.array(np.full(n, lo)), pa.array(np.full(n, hi))], names=names)
+
+    last: bytes | None = None  # the tokens that the batches before end with
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    lo = hi = 0
+    first = True
+
+    def ended(edge: bool) -> Iterator[pa.RecordBatch]:
+        if edge or lo != hi:
+            for rows, ats in parts:
+                yield out(rows, ats, last if edge else None, lo, hi)
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        raw = b"".join(batch.column(0).to_pylist())
+        keys = np.frombuffer(raw, np.uint8).reshape(n, width)
+        streams, rows, ats = (batch.column(k).to_numpy() for k in (1, 2, 3))
+        starts = np.concatenate(([0], 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))))
+        ends = np.append(starts[1:], n)
+        own = lambda k: keys[starts[k]].tobytes()
+        begin = 0
+        if own(0) == last:
+            parts.append((rows[: ends[0]], ats[: ends[0]]))
+            hi, begin = int(streams[ends[0] - 1]), 1
+        if begin == len(starts):
+            continue
+        if last is not None:
+            yield from ended(first)
+            first = False
+        inner = np.arange(begin, len(starts) - 1)
+        if first and len(inner):  # the range's first tokens end in this batch
+            k = inner[0]
+            yield out(rows[starts[k] : ends[k]], ats[starts[k] : ends[k]], own(k), int(streams[starts[k]]), int(streams[ends[k] - 1]))
+            inner, first = inner[1:], False
+        met = inner[streams[starts[inner]] != streams[ends[inner] - 1]]
+        if len(met):
+            at = np.concatenate([np.arange(starts[k], ends[k]) for k in met])
+            yield out(rows[at], ats[at], None, 0, 1)
+        k = len(starts) - 1
+        last, parts, lo, hi = own(k), [(rows[starts[k] :], ats[starts[k] :])], int(streams[starts[k]]), int(streams[-1])
+    if last is not None:
+        yield from ended(True)
+
+
+def repeated_runs(undecided: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, repeated): where in a page's stream the suffixes begin whose first WINDOW tokens another page has."""
+    ordered = suffixes(undecided).repartitionByRange("key", "stream", "row", "at").sortWithinPartitions("key", "stream")
+    found = scratch.save(ordered.mapInArrow(compare_neighbours, "row long, at long, key binary, lo long, hi long"), "neighbours")
+    ends = found.where("key is not null")
+    # a row or two a range
+    settled = ends.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key")
+    every = found.where("key is null").select("row", "at").unionByName(ends.join(F.broadcast(settled), "key", "left_semi").select("row", "at"))
+    return every.groupBy("row").agg(F.collect_list("at").alias("repeated"))
+
+
+def unique_runs(texts: list[str], zones: list[int], repeated: list[int], window: int = WINDOW) -> list[str]:
+    """The blocks of a page without the undecided tokens that a repeated run covers."""
+    covered = np.zeros(sum(len(t.split()) for t, z in zip(texts, zones) if z == UNDECIDED) + window, bool)
+    for k in range(window):
+        covered[np.array(repeated, np.int64) + k] = True
+    out, at = [], 0
+    for text, zone in zip(texts, zones):
+        if zone == UNDECIDED:
+            tokens = text.split()
+            text = " ".join(t for t, c in zip(tokens, covered[at : at + len(tokens)].tolist()) if not c)
+            at += len(tokens)
+        if zone != REJECTED and text:
+            out.append(text)
+    return out
 
 
 def _joined(parsed: DataFrame) -> DataFrame:
-    """(page_id, url, text) of pages whose repeated windows are known."""
+    """(page_id, url, text) of pages whose repeated runs are known."""
 
     def make():
         def apply(batch: pa.RecordBatch) -> list[pa.Array]:
-            out = []
-            for texts, zones, repeated in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                known = set(repeated or ())
-                kept = (t if z == CONTENT else unique_runs(t, known) for t, z in zip(texts, zones) if z != REJECTED)
-                out.append("\n".join(t for t in kept if t))
+            out = ["\n".join(unique_runs(texts, zones, repeated or [])) for texts, zones, repeated in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             return [batch.column(0), batch.column(1), pa.array(out, pa.string())]
 
         return apply
@@ -253,19 +328,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) per page."""
     scratch = Scratch(pages.sparkSession, "html-text")
     parsed = scratch.save(parse_pages(pages).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    sorted_out = suffixes(parsed)
-    # neighbours in the suffix array that agree on their window but come from different streams
-    runs = sorted_out.groupBy("host", "h").agg(F.min("stream").alias("lo"), F.max("stream").alias("hi"), F.max("undecided").alias("asked"))
-    boilerplate = runs.where((F.col("lo") != F.col("hi")) & F.col("asked")).select(F.col("host").alias("_host"), F.col("h").alias("_h"))
-    asked = suffixes(parsed.where(F.array_contains("zones", UNDECIDED))).where("undecided").select("row", "host", "h").distinct()
-    met = asked.join(boilerplate, F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")))
-    # a row holds its own page's windows only
-    covers = scratch.save(met.groupBy("row").agg(F.collect_set("h").alias("repeated")), "covers")
     decided = ~F.array_contains("zones", UNDECIDED)
-    plain = parsed.where(decided).withColumn("repeated", F.lit(None).cast("array<long>"))
-    compared = parsed.where(~decided).join(covers, "row", "left")
+    undecided = parsed.where(~decided)
+    plain = parsed.withColumn("repeated", F.lit(None).cast("array<long>"))
     names = ["page_id", "url", "texts", "zones", "repeated"]
-    return _joined(plain.select(names).unionByName(compared.select(names)))
+    if undecided.isEmpty():
+        return _joined(plain.select(names))
+    compared = undecided.join(scratch.save(repeated_runs(undecided, scratch), "covers"), "row", "left")
+    return _joined(plain.where(decided).select(names).unionByName(compared.select(names)))
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

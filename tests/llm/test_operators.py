@@ -303,3 +303,39 @@ def test_html_articles_whole():
         inner = re.search("<article>(.*)</article>", page, re.S)[1]
         cut = [" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?p>|</?h1>", inner)]
         assert [t for t, z in op1_html_text.blocks_of(page) if z == op1_html_text.CONTENT] == [b for b in cut if b]
+
+
+def brute_unique(streams, window):
+    """The tokens of each stream that no run of so many tokens in a differing stream covers."""
+    out = []
+    for s in streams:
+        others = {tuple(o[k : k + window]) for o in streams if o != s for k in range(len(o) - window + 1)}
+        covered = {k + j for k in range(len(s) - window + 1) if tuple(s[k : k + window]) in others for j in range(window)}
+        out.append([t for k, t in enumerate(s) if k not in covered])
+    return out
+
+
+def test_html_runs_across_blocks(spark):
+    """Without <article>, what goes is what brute force over the pages' streams finds, wherever blocks begin."""
+    rng = random.Random(12)
+    common = [rng.choices([f"c{k}" for k in range(9)], k=rng.randrange(3, 30)) for _ in range(8)]
+    hosts, streams, rows = {}, {}, []
+    for k in range(120):
+        tokens = [t for _ in range(rng.randrange(1, 5)) for t in (*rng.choice(common), *(f"u{rng.randrange(40)}" for _ in range(rng.randrange(6, 14))))]
+        cuts = sorted(rng.sample(range(len(tokens) + 1), min(len(tokens), 4)))
+        blocks = [" ".join(tokens[a:b]) for a, b in zip([0, *cuts], [*cuts, len(tokens)])]
+        host = rng.choice("xxy")
+        hosts.setdefault(host, []).append(k)
+        streams[k] = tokens
+        rows.append((k, f"http://{host}/{k}", "".join(f"<p>{b}</p>" for b in blocks) + "<nav>" + " ".join(common[0]) + "</nav>"))
+    expected = {k: t for ks in hosts.values() for k, t in zip(ks, brute_unique([streams[k] for k in ks], op1_html_text.WINDOW))}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            found = {r.page_id: r.text.split() for r in op1_html_text.main_text(pages).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert found == expected
