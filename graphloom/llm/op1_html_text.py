@@ -13,8 +13,12 @@ The order is by host, tokens, page and place, dealt in ranges: a host with a thi
 pages have, is spread over several tasks. What stands equal across the end of a range is settled by the ranges' first and
 last tokens, a row or two a range.
 
-Articles are kept even where pages repeat them, as mirrored articles are main text; identical streams, as of
-mirrored pages, count as one page. Adverts and menus that markup rejects aren't part of a stream, and are no evidence.
+Articles are kept even where pages repeat them, as mirrored articles are main text: a host's mirrors, whose streams are
+equal or have MIRROR_SHARE of their windows in common, count as one page, and so do mirrors of these. The common share is
+estimated from MINIMA least hashes of the windows; candidates agree in one of BANDS groups of these, and are compared
+with the group's first, so their number grows with the pages. Adverts and menus that markup rejects aren't part of a stream,
+so they neither part mirrors nor are evidence. Pages that differ in less than that from each other keep their common text
+even if it is a template; where they differ more, only equal runs are removed.
 
 Defined results: null and empty html give the empty text; a null url is a host of its own; rows with equal
 page_id are separate pages; white space inside a block becomes one blank, blocks are joined by a newline; text
@@ -35,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import map_batches, pieces, table
+from graphloom.operators.components import component_labels
 from graphloom.scratch import Scratch
 
 #: Tokens that a run must have to count as repeated.
@@ -42,6 +47,10 @@ WINDOW = 8
 #: Suffixes of a long page that are written at a time.
 PIECE = 1 << 14
 
+#: Of two pages' windows, the share in common from which they are mirrors.
+MIRROR_SHARE = 0.8
+MINIMA, BANDS = 64, 16
+
 CONTENT, UNDECIDED, REJECTED = 0, 1, 2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -205,18 +214,69 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return map_batches(chosen, "page_id long, url string, host string, texts array<string>, zones array<int>", make)
 
 
+_FACTORS = np.random.default_rng(1).integers(0, 1 << 63, MINIMA, np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def minima(found: np.ndarray) -> list[int]:
+    """MINIMA least hashes of a stream's windows, of one kind of hash each; none without windows."""
+    if not len(found):
+        return []
+    hashes = np.zeros(len(found), np.uint64)
+    for k in range(found.shape[1]):
+        hashes = (hashes ^ found[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    out = []
+    for factor in _FACTORS:
+        mixed = hashes * factor
+        mixed ^= mixed >> np.uint64(32)
+        out.append(int((mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(1)).min()))
+    return out
+
+
+def signatures(undecided: DataFrame) -> DataFrame:
+    """(row, host, own, minima): a hash of each undecided stream, and the least hashes of its windows."""
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> list[pa.Array]:
+            streams = [stream_of(texts, zones) for texts, zones in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            own = pa.array([_hash([" ".join(x)])[0] >> 1 for x in streams], pa.int64())
+            return [batch.column(0), batch.column(1), own, pa.array([minima(windows(x)) for x in streams], pa.list_(pa.int64()))]
+
+        return apply
+
+    return map_batches(undecided.select("row", "host", "texts", "zones"), "row long, host string, own long, minima array<long>", make)
+
+
+def with_streams(undecided: DataFrame, scratch: Scratch) -> DataFrame:
+    """undecided with a column stream, which mirrors have in common."""
+    marked = scratch.save(signatures(undecided), "signatures")
+    distinct = scratch.save(marked.where(F.size("minima") > 0).groupBy("host", "own").agg(F.first("minima").alias("minima")), "streams")
+    wide = MINIMA // BANDS
+    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.xxhash64(F.slice("minima", k * wide + 1, wide)).alias("key")) for k in range(BANDS)))
+    dealt = distinct.select("host", "own", F.explode(bands).alias("b")).select("host", "own", "b.band", "b.key")
+    firsts = dealt.groupBy(F.col("host").alias("_host"), F.col("band").alias("_band"), F.col("key").alias("_key")).agg(F.min("own").alias("other"), F.count("*").alias("n")).where("n > 1")
+    pairs = dealt.join(firsts, F.expr("host <=> _host and band = _band and key = _key")).where("own <> other").select("host", "own", "other").distinct()
+    one = distinct.select(F.col("host").alias("_host"), F.col("own").alias("_own"), F.col("minima").alias("a"))
+    two = distinct.select(F.col("host").alias("_host2"), F.col("own").alias("_other"), F.col("minima").alias("b"))
+    both = pairs.join(one, F.expr("host <=> _host and own = _own")).join(two, F.expr("host <=> _host2 and other = _other"))
+    equal = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda same: same))
+    links = scratch.save(both.where(equal >= MIRROR_SHARE * MINIMA).select("own", "other"), "mirrors")
+    labels = component_labels(links, "own", "other", Scratch(undecided.sparkSession, "html-mirrors"))
+    streams = marked.select(F.col("row").alias("_row"), "own").join(labels, F.col("own") == F.col("id"), "left").select("_row", F.coalesce("label", "own").alias("stream"))
+    return undecided.join(streams, F.col("row") == F.col("_row")).drop("_row")
+
+
 def suffixes(undecided: DataFrame) -> DataFrame:
-    """(key, stream, row, at): each suffix of the undecided streams by its host's hash and its first WINDOW tokens."""
+    """(key, stream, row, at): each suffix of the undecided streams, of pages with_streams(), by its host's hash and its first WINDOW tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            for row, host, texts, zones in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for row, host, texts, zones, stream in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 tokens = stream_of(texts, zones)
                 found = windows(tokens)
                 n = len(found)
                 if not n:
                     continue
-                stream = _hash([" ".join(tokens)])[0] >> 1
                 place = struct.pack(">Q", 0 if host is None else _hash([host])[0] | 1)
                 for begin in range(0, n, PIECE):
                     part = found[begin : begin + PIECE]
@@ -224,7 +284,7 @@ def suffixes(undecided: DataFrame) -> DataFrame:
                     columns = [pa.array(keys, pa.binary()), *(pa.array(np.full(len(part), x, np.int64)) for x in (stream, row)), pa.array(np.arange(begin, begin + len(part)))]
                     yield pa.RecordBatch.from_arrays(columns, names=["key", "stream", "row", "at"])
 
-    return undecided.select("row", "host", "texts", "zones").mapInArrow(run, "key binary, stream long, row long, at long")
+    return undecided.select("row", "host", "texts", "zones", "stream").mapInArrow(run, "key binary, stream long, row long, at long")
 
 
 def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +346,7 @@ def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def repeated_runs(undecided: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, repeated): where in a page's stream the suffixes begin whose first WINDOW tokens another page has."""
-    ordered = suffixes(undecided).repartitionByRange("key", "stream", "row", "at").sortWithinPartitions("key", "stream")
+    ordered = suffixes(with_streams(undecided, scratch)).repartitionByRange("key", "stream", "row", "at").sortWithinPartitions("key", "stream")
     found = scratch.save(ordered.mapInArrow(compare_neighbours, "row long, at long, key binary, lo long, hi long"), "neighbours")
     ends = found.where("key is not null")
     # a row or two a range

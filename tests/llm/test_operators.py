@@ -339,3 +339,18 @@ def test_html_runs_across_blocks(spark):
             spark.conf.set("spark.sql.shuffle.partitions", "4")
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         assert found == expected
+
+
+def test_html_short_blocks_and_mirrors(spark):
+    """Short blocks that pages share stay, and so do copies of an article beside other adverts, menus or dates."""
+    rng = random.Random(13)
+    article = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(4)]
+    wrap = "please accept all the cookies of this site and of its many friends"
+    page = lambda k, *blocks: (k, f"http://h.org/{k}", "".join(f"<p>{b}</p>" for b in (wrap, *blocks)))
+    extra = lambda row, k: (*row[:2], f"{row[2]}<nav>menu {k} of {k}</nav><div class=ad>buy {k} things now</div>")
+    own = {k: [f"{k} has {k} of these", "Conclusion", f"p{k} only", "Sh is.", " ".join(f"p{k}x{j}" for j in range(30))] for k in range(4)}
+    mirrors = {10: article, 11: article, 12: [*article, "seen on Monday at noon"], 13: [article[0], "by Ann and Bob", *article[1:]]}
+    rows = [page(k, *b) for k, b in own.items()] + [extra(page(k, *b), k) for k, b in mirrors.items()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in op1_html_text.main_text(pages).collect()}
+    assert found == {k: "\n".join(b) for k, b in {**own, **mirrors}.items()}
