@@ -3,10 +3,11 @@
 Everything is Column expressions. A kind's matches come from regexp_extract_all; their places come from
 splitting the text at the same expression, as the lengths of what lies between and of the matches add up to the
 offsets. The expressions start only where a run of their characters starts, or where the last match
-ended, and repeat possessively, which gives the same leftmost matches in linear time without deep recursion.
+ended, and repeat possessively, which gives the same leftmost matches in linear time without deep recursion. An iban's
+repeats exactly as often as its country's length asks, so what follows after a blank is never taken for a part of it.
 
 Base kinds: email; ip with parts at most 255; card, 13 to 19 digits that pass Luhn; phone, 9 to 15 digits. The
-method adds iban, confirmed by mod-97 and the registered lengths' range. Every span has a score: the kind's own
+method adds iban, of a country of IBAN_LENGTHS and its length, confirmed by mod-97. Every span has a score: the kind's own
 confidence, more if one of the kind's words stands within CONTEXT characters before it. Scores rank spans;
 base spans stay whatever their score.
 
@@ -26,6 +27,14 @@ from graphloom.llm.common import table
 CONTEXT = 40
 BLOCK = 256
 
+#: Countries by the length of their IBANs: the registry's, and those that use IBANs without being in it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(rf"(?:{'|'.join(countries.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}+" for n, countries in IBAN_LENGTHS.items())
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -42,7 +51,7 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"(?i)\b(ip|address|host|server|adresse|direcci[oó]n)\b", 0.6),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"(?i)\b(card|visa|credit|payment|karte|carte|tarjeta)\b", 0.7),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"(?i)\b(phone|call|tel|mobile|telefon|t[eé]l[eé]phone|tel[eé]fono)\b", 0.6, "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"(?i)\b(iban|account|bank|konto|compte|cuenta)\b", 0.8),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS})(?![A-Za-z0-9])", r"(?i)\b(iban|account|bank|konto|compte|cuenta)\b", 0.8),
 )
 BASE = ("email", "ip", "card", "phone")
 

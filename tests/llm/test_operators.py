@@ -354,3 +354,18 @@ def test_html_short_blocks_and_mirrors(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = {r.page_id: r.text for r in op1_html_text.main_text(pages).collect()}
     assert found == {k: "\n".join(b) for k, b in {**own, **mirrors}.items()}
+
+
+def test_iban_ends(spark, tmp_path):
+    """What stands behind an IBAN is no part of it: capitalised and upper-case words, numbers, another IBAN."""
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    ends = ["", " Bitte", " Please pay", " BIC X", " 12 34", " A", ". Next", ",DE", f" {ibans[1]}", " AB12 X"]
+    cases = [("pay " + i + e, [i, *([ibans[1]] if "DE89" in e else [])]) for i in ibans for e in ends]
+    cases += [("AB12 " + i, [i]) for i in ibans] + [(i + "0", []) for i in ibans] + [("x" + i, []) for i in ibans]
+    texts = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in op9_pii.op9_pii(spark, folder(texts, tmp_path, "documents")).collect():
+        text, expected = cases[r.doc_id]
+        spans = [x.split(":") for x in r.spans.split(",") if x.startswith("iban")]
+        assert [text[int(a) : int(b)] for _, a, b in spans] == expected, text
+    changed = {r.doc_id: r.text for r in op9_pii.without_pii(spark, texts.withColumn("n_chars", F.length("text").cast("long")), "").collect()}
+    assert changed[1] == "pay <IBAN> Bitte" and changed[13] == "pay <IBAN> BIC X" and changed[23] == "pay <IBAN> BIC X"
