@@ -5,8 +5,10 @@ documents. Its features are the words that a document has, hashed, and the level
 capitals and of words that repeat the one before. A feature's evidence for a domain is the log ratio of its frequency
 inside and outside the domain, moved towards zero by SHRINK_ERRORS standard errors and by SHRINK_BY, so that only decisive
 features are left and the many weak ones of a long text can't outvote them. A document's score for a domain is the
-log of its share plus the evidence. One in CALIBRATE_EVERY of the labelled rows is kept from this and turns scores into
-posteriors: by the best domain and its lead in whole steps, a posterior is the domain's share of those rows.
+log of its share plus the evidence. One in CALIBRATE_EVERY of the labelled rows is kept from this and turns scores s into
+posteriors, softmax(scale * s + shift): the scale and each domain's shift are those that make these rows' labels likeliest
+(multinomial logistic regression by Newton steps), held to the scores' own posterior, scale 1 and shifts 0, by PRIOR.
+So a document's posterior depends on its scores of all domains.
 
 With n the tokens (words) of a document, p its posterior and r its rate, a mixture has sum(r * n * p[d]) expected
 tokens of domain d.
@@ -53,8 +55,9 @@ SMOOTHING = 0.5
 SHRINK_ERRORS = 1.0
 SHRINK_BY = 2.0
 CALIBRATE_EVERY = 4
-#: Whole steps of the best domain's lead that are told apart.
-LEADS = 8
+#: Precision of the prior of scale and shifts.
+PRIOR = 1.0
+NEWTON_STEPS = 30
 #: Rows of the model up to which it is broadcast.
 BROADCAST_ROWS = 1 << 18
 SEED = 8
@@ -104,7 +107,8 @@ class Classifier:
     shares: list[float]
     model: DataFrame  # (bucket, l0, l1, ...): evidence of a feature by domain, for features that have any
     model_rows: int
-    calibration: DataFrame | None = None  # (best, lead, p0, p1, ...): posteriors by best domain and its lead
+    scale: float = 1.0
+    shifts: list[float] | None = None
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", label_cols: tuple[str, ...] = ("quality", "toxic"), most: int = TRAIN_ROWS) -> Classifier:
@@ -135,51 +139,81 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col:
     every = counted.groupBy("bucket").agg(*(x.alias(f"l{k}") for k, x in enumerate(evidence)))
     model = scratch.save(every.where(reduce(or_, (F.col(f"l{k}") != 0 for k in range(len(domains))))), "model")
     fitted = Classifier(domains, [rows[d] / whole for d in domains], model, model.count())
-    fitted.calibration = scratch.save(_calibration(fitted, listed.where("kept_out")), "calibration")
+    # a share of the sample, whatever the corpus, and read by every step
+    kept_out = scratch.save(scratch.save(_scores(listed.where("kept_out"), fitted, "domain"), "kept-out").coalesce(1), "kept-out-rows")
+    fitted.scale, fitted.shifts = _calibration(kept_out, domains)
     return fitted
 
 
 def _scores(listed: DataFrame, fitted: Classifier, *keep: str) -> DataFrame:
-    """(_id, *keep, n_tokens, best, lead) per _id, from the rows of _with_features()."""
+    """(_id, *keep, n_tokens, s0, s1, ...) per _id, from the rows of _with_features()."""
     k = len(fitted.domains)
     model = F.broadcast(fitted.model) if fitted.model_rows <= BROADCAST_ROWS else fitted.model
     met = listed.join(model, "bucket", "left").where("pos = 0 or l0 is not null")  # a row per document, and those with evidence
-    sums = met.groupBy("_id", *keep).agg(
+    return met.groupBy("_id", *keep).agg(
         F.sum(F.when(F.col("pos") == 0, F.col("n_tokens")).otherwise(0)).alias("n_tokens"),
         *((F.coalesce(F.sum(f"l{d}"), F.lit(0.0)) + math.log(s)).alias(f"s{d}") for d, s in enumerate(fitted.shares)),
-    )
-    ranked = F.sort_array(F.array(*(F.struct(F.col(f"s{d}").alias("s"), F.lit(-d).alias("d")) for d in range(k))), False)
-    sums = sums.select("_id", *keep, "n_tokens", ranked.alias("ranked"))
-    lead = F.floor(F.col("ranked")[0]["s"] - F.col("ranked")[1]["s"]) if k > 1 else F.lit(0)
-    return sums.select("_id", *keep, "n_tokens", (-F.col("ranked")[0]["d"]).alias("best"), F.least(lead, F.lit(LEADS - 1)).cast("int").alias("lead"))
+    )
 
 
-def _calibration(fitted: Classifier, kept_out: DataFrame) -> DataFrame:
-    """Shares of the domains by best domain and lead. The scores' own posterior weighs as much as one row."""
-    k = len(fitted.domains)
-    seen = _scores(kept_out, fitted, "domain").groupBy("best", "lead").agg(*(F.sum(F.when(F.col("domain") == d, 1.0).otherwise(0.0)).alias(f"c{j}") for j, d in enumerate(fitted.domains)))
-    every = kept_out.sparkSession.range(k * LEADS).select(F.floor(F.col("id") / LEADS).cast("int").alias("best"), F.pmod("id", F.lit(LEADS)).cast("int").alias("lead"))
-    top = 1 / (1 + (k - 1) * F.exp(-(F.col("lead") + 0.5)))
-    own = []
-    for j, share in enumerate(fitted.shares):
-        rest = [(1 - top) * share / (1 - s) if s < 1 else F.lit(0.0) for s in fitted.shares]
-        own.append(F.element_at(F.array(*(top if j == b else rest[b] for b in range(k))), F.col("best") + 1))
-    counts = [F.coalesce(F.col(f"c{j}"), F.lit(0.0)) for j in range(k)]
-    total = sum(counts, F.lit(1.0))
-    return every.join(seen, ["best", "lead"], "left").select("best", "lead", *(((c + o) / total).alias(f"p{j}") for j, (c, o) in enumerate(zip(counts, own))))
+def _softmax(scored: DataFrame, scale: float, shifts: list[float], *keep: str) -> DataFrame:
+    """(*keep, top, whole, p0, p1, ...): the posteriors, of which top and whole are greatest exponent and sum."""
+    k = len(shifts)
+    raised = scored.select(*keep, *((F.lit(scale) * F.col(f"s{d}") + F.lit(b)).alias(f"_z{d}") for d, b in enumerate(shifts)))
+    raised = raised.withColumn("top", F.greatest(*(F.col(f"_z{d}") for d in range(k))) if k > 1 else F.col("_z0"))
+    raised = raised.select(*keep, "top", *(F.exp(F.col(f"_z{d}") - F.col("top")).alias(f"_e{d}") for d in range(k)))
+    raised = raised.withColumn("whole", sum((F.col(f"_e{d}") for d in range(1, k)), F.col("_e0")))
+    return raised.select(*keep, "top", "whole", *((F.col(f"_e{d}") / F.col("whole")).alias(f"p{d}") for d in range(k)))
+
+
+def _calibration(kept_out: DataFrame, domains: list[str]) -> tuple[float, list[float]]:
+    """Scale and shifts of the likeliest posteriors for the rows' domains. Each step is one aggregate of the domains' number squared."""
+    k = len(domains)
+    known = kept_out.where(F.col("domain").isin(domains))
+    s, p, y = ([F.col(f"s{d}") for d in range(k)], [F.col(f"p{d}") for d in range(k)], [F.when(F.col("domain") == d, 1.0).otherwise(0.0) for d in domains])
+    mean = sum((p[d] * s[d] for d in range(1, k)), p[0] * s[0])
+    own = sum((y[d] * s[d] for d in range(1, k)), y[0] * s[0])
+    square = sum((p[d] * s[d] * s[d] for d in range(1, k)), p[0] * s[0] * s[0]) - mean * mean
+
+    def measured(at: list[float]) -> tuple[float, list[float], list[list[float]]]:
+        """Loss, its gradient and its second derivatives, by scale and shifts."""
+        shift = sum((y[d] * F.lit(at[1 + d]) for d in range(k)), F.lit(0.0))
+        found = {"loss": F.col("top") + F.log("whole") - F.lit(at[0]) * own - shift, "g0": mean - own, "h0_0": square}
+        found |= {f"g{1 + d}": p[d] - y[d] for d in range(k)} | {f"h0_{1 + d}": p[d] * (s[d] - mean) for d in range(k)}
+        found |= {f"h{1 + a}_{1 + b}": p[a] * ((1.0 if a == b else 0.0) - p[b]) for a in range(k) for b in range(a, k)}
+        row = _softmax(known, at[0], at[1:], "domain", *(f"s{d}" for d in range(k))).agg(*(F.sum(x).alias(name) for name, x in found.items())).first()
+        held = [at[0] - 1, *at[1:]]
+        loss = float(row["loss"] or 0) + PRIOR / 2 * sum(x * x for x in held)
+        second = [[float(row[f"h{min(a, b)}_{max(a, b)}"] or 0) + PRIOR * (a == b) for b in range(k + 1)] for a in range(k + 1)]
+        return loss, [float(row[f"g{a}"] or 0) + PRIOR * held[a] for a in range(k + 1)], second
+
+    at = [0.0] * (k + 1)  # where no posterior is near 0 or 1
+    loss, slope, second = measured(at)
+    length = 1.0
+    for _ in range(NEWTON_STEPS):
+        move = _solve(second, slope, 0.0)
+        gain = sum(x * y for x, y in zip(move, slope))
+        if gain * length < 1e-9 * (1 + loss):
+            break
+        then = [x - length * m for x, m in zip(at, move)]
+        new = measured(then)
+        if new[0] <= loss - 1e-4 * length * gain:
+            at, (loss, slope, second), length = then, new, 1.0
+        else:
+            length /= 2
+    return at[0], at[1:]
 
 
 def posteriors(docs: DataFrame, fitted: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, p0, p1, ...) per doc_id."""
     scored = _scores(_with_features(docs, id_col, text_col), fitted)
-    met = scored.join(F.broadcast(fitted.calibration), ["best", "lead"])  # LEADS rows a domain
-    return met.select(F.col("_id").alias("doc_id"), "n_tokens", *(f"p{d}" for d in range(len(fitted.domains))))
+    return _softmax(scored, fitted.scale, fitted.shifts, "_id", "n_tokens").drop("top", "whole").withColumnRenamed("_id", "doc_id")
 
 
-def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
+def _solve(matrix: list[list[float]], right: list[float], damping: float = DAMPING) -> list[float]:
     """Gauss elimination, for a damped symmetric matrix of the domains' number."""
     n = len(right)
-    ridge = DAMPING * sum(matrix[k][k] for k in range(n)) / n
+    ridge = damping * sum(matrix[k][k] for k in range(n)) / n
     rows = [[*matrix[k], right[k]] for k in range(n)]
     for k in range(n):
         rows[k][k] += ridge
@@ -194,13 +228,8 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], scratch: Scratch, steps: int = STEPS) -> DataFrame:
-    """members (doc_id, n_tokens, p0, ...) with a column rate. Documents with the same posterior have the same rate and are fitted as one."""
+    """members (doc_id, n_tokens, p0, ...) with a column rate, fitted over all documents."""
     k = len(domains)
-    ps = [f"p{d}" for d in range(k)]
-    groups = scratch.save(members.groupBy(*ps).agg(F.sum("n_tokens").alias("n_tokens")), "groups")
-    few = groups.count() <= BROADCAST_ROWS
-    if few:
-        groups = scratch.save(groups.coalesce(1), "few-groups")
     weights = [targets.get(d, 0.0) for d in domains]
     if not sum(weights):
         weights = [1.0] * k
@@ -212,14 +241,14 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
         row = df.agg(*(F.sum(rate * n * F.col(f"p{d}")).alias(f"a{d}") for d in range(k))).first()
         return [float(row[f"a{d}"] or 0) for d in range(k)]
 
-    row = groups.agg(*(F.sum(n * F.col(f"p{a}") * F.col(f"p{b}")).alias(f"g{a}_{b}") for a, b in pairs)).first()
+    row = members.agg(*(F.sum(n * F.col(f"p{a}") * F.col(f"p{b}")).alias(f"g{a}_{b}") for a, b in pairs)).first()
     gram = [[float(row[f"g{min(a, b)}_{max(a, b)}"] or 0) for b in range(k)] for a in range(k)]
     if not any(gram[d][d] for d in range(k)):
         return members.withColumn("rate", F.lit(1.0))
-    got = totals(groups, F.lit(1.0))
+    got = totals(members, F.lit(1.0))
     best = max(range(k), key=lambda d: weights[d])
     total = got[best] / weights[best] if got[best] else sum(got)
-    now, rate, before = groups.withColumn("rate", F.lit(1.0)), F.col("rate"), math.inf
+    now, rate, before = members.withColumn("rate", F.lit(1.0)), F.col("rate"), math.inf
     for step in range(1, steps + 1):
         off = [a - w * total for a, w in zip(got, weights)]
         move = _solve(gram, off)
@@ -231,8 +260,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
         if step % WRITE_EVERY == 0:
             now, rate = scratch.save(now.withColumn("rate", rate), f"rates-{step}"), F.col("rate")
         got = totals(now, rate)
-    rates = _scaled(now.withColumn("rate", rate), best, k).select(*ps, "rate")
-    return members.join(F.broadcast(rates) if few else rates, ps)
+    return _scaled(scratch.save(now.withColumn("rate", rate), "rates"), best, k)
 
 
 def _scaled(fitted: DataFrame, best: int, k: int) -> DataFrame:

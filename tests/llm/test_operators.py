@@ -369,3 +369,34 @@ def test_iban_ends(spark, tmp_path):
         assert [text[int(a) : int(b)] for _, a, b in spans] == expected, text
     changed = {r.doc_id: r.text for r in op9_pii.without_pii(spark, texts.withColumn("n_chars", F.length("text").cast("long")), "").collect()}
     assert changed[1] == "pay <IBAN> Bitte" and changed[13] == "pay <IBAN> BIC X" and changed[23] == "pay <IBAN> BIC X"
+
+
+def test_mixing_tells_every_document_apart(spark, tmp_path):
+    """Posteriors follow the scores of all domains, and are those that fit the kept rows best."""
+    rng = random.Random(14)
+    kinds = [(1, 0), (0, 0), (1, 1)]
+    rows, labels = [], []
+    for k in range(900):
+        kind = k % 3
+        mine = kind if rng.random() < 0.9 else rng.randrange(3)
+        rows.append((k, " ".join([*(f"d{mine}w{rng.randrange(12)}" for _ in range(rng.randrange(1, 15))), *(f"d{rng.randrange(3)}w{rng.randrange(12)}" for _ in range(rng.randrange(3)))])))
+        labels.append((k, *kinds[kind]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = op8_mixing.fit_classifier(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), op8_mixing.Scratch(spark, "test"))
+    found = {r.doc_id: np.array([r.p0, r.p1, r.p2]) for r in op8_mixing.posteriors(docs, fitted).collect()}
+    assert all(p.sum() == pytest.approx(1) for p in found.values())
+    scored = {r["_id"]: np.array([r.s0, r.s1, r.s2]) for r in op8_mixing._scores(op8_mixing._with_features(docs, "doc_id", "text"), fitted).collect()}
+    assert len({tuple(p.round(12)) for p in found.values()}) == len({tuple(x.round(9)) for x in scored.values()}) > 32
+    kept = [r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(op8_mixing.SEED + 1)), F.lit(op8_mixing.CALIBRATE_EVERY)) == 0).collect()]
+    names = [f"quality={q},toxic={t}" for q, t in kinds]
+
+    def loss(scale, shifts):
+        z = np.array([scale * scored[k] + shifts for k in kept])
+        truth = [fitted.domains.index(names[k % 3]) for k in kept]
+        return (np.log(np.exp(z).sum(1)) - z[range(len(kept)), truth]).sum() + op8_mixing.PRIOR / 2 * ((scale - 1) ** 2 + (np.array(shifts) ** 2).sum())
+
+    least = loss(fitted.scale, fitted.shifts)
+    for k in range(4):
+        for step in (-0.05, 0.05):
+            moved = np.array([fitted.scale, *fitted.shifts]) + step * (np.arange(4) == k)
+            assert loss(moved[0], moved[1:]) > least
