@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import metrics, partition
 from graphloom.operators.distance import bfs_levels, shortest_distances
-from graphloom.plans.vertex_program import Levels, MinLabel, run
-from graphloom.sources.edgelist import random_edges
+from graphloom.plans.vertex_program import Context, Levels, MinLabel, run
+from graphloom.scratch import Scratch
+from graphloom.sources.edgelist import drawn_sql, load_graph, open_graph, random_edges, read_edges, save_graph, save_values, write_edges
 from graphloom.sources.tables import edges_of, edges_sql, graph_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 SMALL_BUDGET = 4_000
 BLOCK_EDGES = 256
 RANGE = (100, 400)
+IN_EDGES_OF, OUT_EDGES_OF = 3, 4
+RANDOM = (1000, 7)
 BFS_SOURCE = {"dense": 0, "small": 1}
 #: Near, self, far and unreachable pairs, one with an end that is no vertex.
 PAIRS = {"dense": ((0, 1), (0, 2), (5, 5), (1, 100), (3, -1)), "small": ((1, 1), (0, 1), (2, 9), (31, 62))}
@@ -44,7 +47,60 @@ def _parts(spark: SparkSession, d: str):
     return g, partition.intervals(g, SMALL_BUDGET)
 
 
+def _text(spark: SparkSession, d: str, name: str, weighted: bool) -> str:
+    """A graph's edges as text; returns the folder."""
+    path = f"{Scratch(spark, 'text').path}/edges.txt"
+    write_edges(edges_of(spark, d, name), path, weighted)
+    return path
+
+
+def _mixed_text(spark: SparkSession, d: str) -> str:
+    """Edges with other delimiters by source, a comment and a blank line beside each, and a malformed line beside every third."""
+    path = f"{Scratch(spark, 'text').path}/edges.txt"
+    spell = """array(concat(src, CASE src % 4 WHEN 0 THEN ', ' WHEN 1 THEN '   ' ELSE '\t' END, dst, CASE WHEN src % 7 = 0 THEN ' \r' ELSE '' END), concat('# ', src), '% x y', '',
+      CASE WHEN dst % 3 = 0 THEN element_at(array('9', concat(src, ' 2 3 4'), 'a b', concat('-', src, ' 2'), '1 2 x'), CAST(1 + src % 5 AS INT)) ELSE '#' END)"""
+    edges_of(spark, d, "deep").selectExpr(f"explode({spell}) AS value").write.text(path)
+    return path
+
+
+def _reopened(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of a text that is read and kept once, and opened from what was kept the second time."""
+    source, folder = _text(spark, d, "raw", False), f"{Scratch(spark, 'kept').path}/graph"
+    for _ in range(2):
+        graph = open_graph(spark, source, folder, weighted=False)
+    return graph.edges
+
+
+def _saved_values(spark: SparkSession, d: str) -> DataFrame:
+    """A program's values, saved to the graph's folder and loaded from it."""
+    folder = f"{Scratch(spark, 'kept').path}/graph"
+    save_graph(graph_of(spark, d, "small", dense=False), folder)
+    save_values(run(load_graph(spark, folder), MinLabel()), folder)
+    return load_graph(spark, folder).vertices()
+
+
+class _Silenced(MinLabel):
+    """One superstep of the smallest id, in which a range and one id don't send, but one of the range does."""
+
+    def before_iteration(self, ctx: Context) -> None:
+        ctx.deactivate_range(*RANGE)
+        ctx.remove_task(1, 2)
+        ctx.add_task(RANGE[1])
+
+    def after_iteration(self, ctx: Context) -> None:
+        ctx.stop()
+
+
 QUERIES: dict[str, Query] = {
+    "edges_text_unweighted": lambda s, d: read_edges(s, _text(s, d, "deep", False)),
+    "edges_text_weighted": lambda s, d: read_edges(s, _text(s, d, "seq", True)),
+    "edges_text_dropmalformed": lambda s, d: read_edges(s, _mixed_text(s, d), False, "DROPMALFORMED"),
+    "graph_reopened": _reopened,
+    "values_saved": _saved_values,
+    "in_edges": lambda s, d: graph_of(s, d, "dense").in_edges(IN_EDGES_OF),
+    "out_edges": lambda s, d: graph_of(s, d, "dense").out_edges(OUT_EDGES_OF),
+    "active_count": lambda s, d: _active_frontier(s, d).agg(F.count("*").alias("active")),
+    "program_silenced": lambda s, d: run(graph_of(s, d, "raw", dense=False), _Silenced()),
     "edges_unweighted": lambda s, d: edges_of(s, d, "deep"),
     "edges_weighted": lambda s, d: edges_of(s, d, "seq"),
     "graph_info": lambda s, d: graph_of(s, d, "seq").info(),
@@ -73,7 +129,7 @@ QUERIES: dict[str, Query] = {
     "intervals": lambda s, d: _parts(s, d)[1],
     "csr_offsets": lambda s, d: partition.csr_offsets(*_parts(s, d)),
     "block_scores": lambda s, d: partition.block_scores(*_parts(s, d), BLOCK_EDGES),
-    "random_graph": lambda s, d: random_edges(s, 1000, 7),
+    "random_graph": lambda s, d: random_edges(s, *RANDOM),
 }
 
 
@@ -123,7 +179,24 @@ _INTERVALS = f"""WITH RECURSIVE e AS MATERIALIZED ({edges_sql("deep")}),
    CAST(CASE WHEN lead(hi) OVER (ORDER BY part) IS NULL THEN (SELECT top FROM b) ELSE hi END AS BIGINT) AS last_vid, CAST(destinations AS BIGINT) AS destinations, CAST(edges AS BIGINT) AS edges FROM r)
 """
 
+_FRONTIER = f"""{_E('raw')}, u AS (SELECT dst AS v, src AS nbr FROM e UNION SELECT src, dst FROM e),
+ one AS (SELECT v, least(v, min(nbr)) AS label FROM u GROUP BY v),
+ two AS (SELECT u.v, min(o.label) AS m FROM u JOIN one o ON o.v = u.nbr WHERE o.label < o.v GROUP BY u.v)
+ SELECT {{}} FROM one JOIN two ON two.v = one.v WHERE m < label"""
+
 ORACLE_SQL: dict[str, str] = {
+    "edges_text_unweighted": edges_sql("deep"),
+    "edges_text_weighted": edges_sql("seq"),
+    "edges_text_dropmalformed": edges_sql("deep"),
+    "graph_reopened": edges_sql("raw"),
+    "values_saved": _cc("small") + "SELECT id, CAST(label AS DOUBLE) AS value FROM cc",
+    "in_edges": f"{_E('dense')} SELECT * FROM e WHERE dst = {IN_EDGES_OF}",
+    "out_edges": f"{_E('dense')} SELECT * FROM e WHERE src = {OUT_EDGES_OF}",
+    "active_count": _FRONTIER.format("count(*) AS active"),
+    "program_silenced": f"""{_E('raw')}, u AS (SELECT dst AS v, src AS nbr FROM e UNION SELECT src, dst FROM e)
+ SELECT v AS id, CAST(least(v, min(nbr) FILTER (nbr = {RANGE[1]} OR nbr NOT BETWEEN {RANGE[0]} AND {RANGE[1]} AND nbr NOT IN (1, 2))) AS DOUBLE) AS value FROM u GROUP BY v""",
+    "random_graph": f"""WITH d AS (SELECT {", ".join(f"({drawn_sql(RANDOM[1], 2 * k)} * {1 << 31} + {drawn_sql(RANDOM[1], 2 * k + 1)}) % {RANDOM[0]} AS {name}" for k, name in enumerate(("src", "f", "again")))} FROM range({RANDOM[0]}) r(id))
+ SELECT src, CASE WHEN src = f THEN again ELSE f END AS dst, CAST(0 AS DOUBLE) AS value FROM d""",
     "edges_unweighted": edges_sql("deep"),
     "edges_weighted": edges_sql("seq"),
     "graph_info": f"{_E('seq')} SELECT count(*) AS edges, greatest(max(src), max(dst)) + 1 AS vertices, count(DISTINCT src) AS distinct_sources FROM e",
@@ -136,10 +209,7 @@ ORACLE_SQL: dict[str, str] = {
     "triplets": f"{_E('seq')}, g AS (SELECT dst AS id, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY dst) SELECT src, dst, value AS edge_value, coalesce(a.n, 0) AS src_value, coalesce(b.n, 0) AS dst_value FROM e LEFT JOIN g a ON a.id = src LEFT JOIN g b ON b.id = dst",
     "incident_range": f"{_E('raw')}, u AS (SELECT dst AS v, src AS nbr, value FROM e UNION ALL SELECT src, dst, value FROM e) SELECT * FROM u WHERE v BETWEEN {RANGE[0]} AND {RANGE[1]}",
     "min_neighbor": f"{_E('raw')}, u AS (SELECT dst AS v, src AS nbr FROM e UNION ALL SELECT src, dst FROM e) SELECT v AS id, least(v, min(nbr)) AS label FROM u GROUP BY v",
-    "active_frontier": f"""{_E('raw')}, u AS (SELECT dst AS v, src AS nbr FROM e UNION SELECT src, dst FROM e),
- one AS (SELECT v, least(v, min(nbr)) AS label FROM u GROUP BY v),
- two AS (SELECT u.v, min(o.label) AS m FROM u JOIN one o ON o.v = u.nbr WHERE o.label < o.v GROUP BY u.v)
- SELECT one.v AS id, m AS label FROM one JOIN two ON two.v = one.v WHERE m < label""",
+    "active_frontier": _FRONTIER.format("one.v AS id, m AS label"),
     "cc_labels": _cc("deep") + "SELECT id, label FROM cc",
     "cc_labels_star": _cc("star") + "SELECT id, label FROM cc",
     "cc_labels_raw": _cc("raw") + "SELECT r.id, coalesce(label, r.id) AS label FROM (SELECT unnest(range(0, (SELECT max(a) + 1 FROM u))) AS id) r LEFT JOIN cc ON cc.id = r.id",

@@ -38,35 +38,45 @@ def bfs_levels(graph: Graph, source: int, max_levels: int = 1000) -> DataFrame:
     return graph.spark.read.schema(levels[0].schema).parquet(*(f"{scratch.path}/level-{k}" for k in range(len(levels))))
 
 
-def shortest_distances(graph: Graph, pairs: Iterable[tuple[int, int]], max_levels: int = 1000) -> DataFrame:
+def shortest_distances(graph: Graph, pairs: Iterable[tuple[int, int]], max_levels: int = 1000, allow_partial: bool = False) -> DataFrame:
     """(src, dst, distance) for each pair; null without a path or if an end is no vertex.
 
-    Both ends of all pairs grow balls in turn. When two balls first share a vertex, the least sum of the two
-    distances to a shared one is the pair's distance, as either ball is complete to its radius.
+    Both ends of all pairs grow balls in turn. When the rims of two balls first share a vertex, the sum of their radii is the
+    pair's distance. A rim's neighbours are in the rim, the one before and the one after, so only rims are kept.
+    Raises RuntimeError if a path could be longer than 2 * max_levels; with allow_partial such pairs are null.
     """
     pairs = sorted(set(pairs))
     spark, scratch = graph.spark, Scratch(graph.spark, "distance")
     asked = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, src long, dst long")
-    ends = asked.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("src").alias("id")), F.struct(F.lit(1).alias("side"), F.col("dst").alias("id")))).alias("e"))
-    known = ends.select("pair", "e.side", "e.id").join(graph.ids(), "id", "left_semi").select("pair", "side", "id", F.lit(0).cast("long").alias("dist"))
+    ids = graph.ids()
+    start = [scratch.save(asked.select("pair", F.col(end).alias("id")).join(ids, "id", "left_semi"), f"rim-{side}-0") for side, end in enumerate(("src", "dst"))]
     around = _neighbours(graph, scratch)
-    ball = scratch.save(known, "ball-0")
     found: dict[int, int] = {}
+
+    def settled(new: DataFrame, other: DataFrame, length: int) -> list[int]:
+        """Pairs that go on: both rims have vertices, and share none."""
+        rows = new.join(other.withColumn("met", F.lit(True)), ["pair", "id"], "left").groupBy("pair").agg(F.bool_or("met").alias("met")).collect()  # a row per asked pair at most
+        found.update({r["pair"]: length for r in rows if r["met"]})
+        return [r["pair"] for r in rows if not r["met"]]
+
+    going = settled(*start, 0)
+    alive = {r["pair"] for r in start[1].select("pair").distinct().collect()}
+    going = [k for k in going if k in alive]
+    rims, before = start, [None, None]
     for step in range(max_levels * 2):
-        side = step % 2
-        one = ball.where("side = 0").select("pair", "id", F.col("dist").alias("a"))
-        other = ball.where("side = 1").select("pair", "id", F.col("dist").alias("b"))
-        met = one.join(other, ["pair", "id"]).groupBy("pair").agg(F.min(F.col("a") + F.col("b")).alias("d"))
-        found |= {r["pair"]: r["d"] for r in met.collect()}  # at most one row per asked pair
-        ball = ball.where(~F.col("pair").isin(list(found))) if found else ball
-        radius = step // 2
-        edge = ball.where((F.col("side") == side) & (F.col("dist") == radius))
-        new = edge.join(around, edge.id == around.v).select("pair", "side", F.col("nbr").alias("id")).distinct().join(ball.select("pair", "side", "id"), ["pair", "side", "id"], "left_anti")
-        grown = scratch.save(ball.unionByName(new.select("pair", "side", "id", F.lit(radius + 1).cast("long").alias("dist"))), f"ball-{step + 1}")
-        alive = grown.where(F.col("dist") == F.when(F.col("side") == 0, radius + 1).otherwise(radius + side)).groupBy("pair").agg(F.countDistinct("side").alias("n"))
-        going = [r["pair"] for r in alive.where("n = 2").collect()]
         if not going:
             break
-        ball = grown.where(F.col("pair").isin(going))
+        side, radius = step % 2, step // 2 + 1
+        rim = rims[side].where(F.col("pair").isin(going))
+        new = rim.join(around, rim.id == around.v).select("pair", F.col("nbr").alias("id")).distinct()
+        for known in (rims[side], before[side]):
+            if known is not None:
+                new = new.join(known, ["pair", "id"], "left_anti")
+        before[side], rims[side] = rims[side], scratch.save(new, f"rim-{side}-{radius}")
+        scratch.drop(f"rim-{side}-{radius - 2}")
+        going = settled(rims[side], rims[1 - side], step + 1)
+    else:
+        if going and not allow_partial:
+            raise RuntimeError(f"{len(going)} pairs are further apart than {2 * max_levels} or have no path")
     rows = [(a, b, found.get(k)) for k, (a, b) in enumerate(pairs)]
     return spark.createDataFrame(rows, "src long, dst long, distance long")

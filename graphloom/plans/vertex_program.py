@@ -27,15 +27,35 @@ class Context:
     stopped: bool = False
     changed: int = 0
     active: int = 0
-    off_ranges: list[tuple[int, int]] = field(default_factory=list)
+    changes: list[Callable[[Column, Column], Column]] = field(default_factory=list)
 
     def stop(self) -> None:
         """Make this iteration the last."""
         self.stopped = True
 
+    # Changes of the set of vertices that send in the next superstep, made in the order of the calls.
+
+    def add_task(self, *ids: int) -> None:
+        self.changes.append(lambda active, vertex: active | vertex.isin(*ids))
+
+    def remove_task(self, *ids: int) -> None:
+        self.changes.append(lambda active, vertex: active & ~vertex.isin(*ids))
+
     def deactivate_range(self, low: int, high: int) -> None:
-        """Vertices of this id range don't send in the next superstep."""
-        self.off_ranges.append((low, high))
+        """low and high are in the range."""
+        self.changes.append(lambda active, vertex: active & ~vertex.between(low, high))
+
+    def clear(self) -> None:
+        self.changes.append(lambda active, vertex: F.lit(False))
+
+    def has_tasks(self) -> bool:
+        return bool(self.active or self.changes)
+
+    def _sending(self, active: Column) -> Column:
+        for change in self.changes:
+            active = change(active, F.col("id"))
+        self.changes.clear()
+        return active
 
 
 class VertexProgram:
@@ -82,25 +102,22 @@ def run(graph: Graph, program: VertexProgram, iterations: int = 1000, allow_part
     edges = scratch.save(_edges(graph, program.direction).withColumnRenamed("value", "edge_value"), "edges")
     state = scratch.save(program.init(graph.vertices()).select("id", "value", "active"), "state-0")
     ctx.active = state.where("active").count()
-    while ctx.active and not ctx.stopped:
+    while ctx.has_tasks() and not ctx.stopped:
         if ctx.iteration >= iterations:
             if allow_partial:
                 break
             raise RuntimeError(f"still active after {iterations} iterations")
         program.before_iteration(ctx)
         program.before_interval(ctx)
-        sending = state if program.activate_all else state.where("active")
-        for low, high in ctx.off_ranges:
-            sending = sending.where(~F.col("id").between(low, high))
-        ctx.off_ranges.clear()
+        sending = state.where(ctx._sending(F.lit(True) if program.activate_all else F.col("active")))
         sent = sending.select(F.col("id").alias("nbr"), F.col("value").alias("nbr_value"))
         gathered = edges.join(sent, "nbr").select("v", program.message().alias("m")).groupBy("v").agg(program.combine(F.col("m")).alias("gathered"))
         met = state.join(gathered, state.id == gathered.v, "left").select("id", "value", "gathered")
         new = met.withColumn("new", program.apply().cast("double"))
         after = new.select("id", F.col("new").alias("value"), program.activate(F.col("value"), F.col("new")).alias("active"), (~F.col("value").eqNullSafe(F.col("new"))).alias("changed"))
-        written = scratch.save(after, f"state-{ctx.iteration + 1}")
+        written, seen = scratch.save_observed(after, f"state-{ctx.iteration + 1}", active=F.count_if("active"), changed=F.count_if("changed"))
         scratch.drop(f"state-{ctx.iteration}")
-        ctx.active, ctx.changed = written.agg(F.count_if("active"), F.count_if("changed")).first()
+        ctx.active, ctx.changed = seen["active"], seen["changed"]
         state = written.drop("changed")
         program.after_interval(ctx)
         program.after_iteration(ctx)

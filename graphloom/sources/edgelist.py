@@ -34,7 +34,7 @@ def parse_lines(lines: DataFrame, weighted: bool, mode: str = "FAILFAST") -> Dat
     found = found.select("value", F.size("tokens").alias("n"), _vertex(F.get("tokens", F.lit(0))).alias("src"), _vertex(F.get("tokens", F.lit(1))).alias("dst"), value.alias("w"))
     good = (F.col("n") == 2 + weighted) & F.col("src").isNotNull() & F.col("dst").isNotNull() & F.col("w").isNotNull()
     if mode == "FAILFAST":  # in the filter, as an unused column would be pruned
-        good = F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed edge: "), "value")).cast("boolean"))
+        good = F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed edge in "), F.input_file_name(), F.lit(": "), "value")).cast("boolean"))
     return found.where(good).select("src", "dst", F.col("w").alias("value"))
 
 
@@ -70,15 +70,24 @@ def _stamp(spark: SparkSession, source: str | None) -> dict | None:
     return {"path": source, "modified": status.getModificationTime(), "size": status.getLen()}
 
 
-def save_graph(graph: Graph, folder: str, source: str | None = None) -> None:
-    """edges.parquet, vertices.parquet, degrees.parquet, and last the manifest that makes them a graph."""
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def save_graph(graph: Graph, folder: str, source: str | None = None, options: dict | None = None) -> None:
+    """edges.parquet, vertices.parquet, degrees.parquet, and last the manifest that makes them a graph.
+
+    An older manifest goes first, so a save that is cut short leaves no graph. options: how source was read.
+    """
     spark = graph.spark
+    _delete(spark, f"{folder}/_graph.json")
     graph.edges.repartitionByRange("dst").sortWithinPartitions("dst", "src").write.mode("overwrite").parquet(f"{folder}/edges.parquet")
     kept = Graph(spark.read.parquet(f"{folder}/edges.parquet"), graph.dense, graph._values)
     kept.vertices().write.mode("overwrite").parquet(f"{folder}/vertices.parquet")
     kept.in_degrees().write.mode("overwrite").parquet(f"{folder}/degrees.parquet")
     row = kept.info().first()
-    manifest = {"version": FORMAT_VERSION, "dense": graph.dense, "source": _stamp(spark, source)} | row.asDict()
+    manifest = {"version": FORMAT_VERSION, "dense": graph.dense, "source": _stamp(spark, source), "options": options or {}} | row.asDict()
     text = spark.range(1).select(F.lit(json.dumps(manifest)).alias("value"))
     text.coalesce(1).write.mode("overwrite").text(f"{folder}/_graph.json")
 
@@ -100,24 +109,40 @@ def load_graph(spark: SparkSession, folder: str) -> Graph:
     return Graph(spark.read.parquet(f"{folder}/edges.parquet"), manifest["dense"], spark.read.parquet(f"{folder}/vertices.parquet"))
 
 
-def is_current(spark: SparkSession, folder: str, source: str) -> bool:
-    """Whether folder has a graph of this format made from source as it is now."""
+def save_values(values: DataFrame, folder: str) -> None:
+    """(id, value) as the values of the graph in folder, whose edges stay; values must not read that folder's own."""
+    values.select("id", "value").write.mode("overwrite").parquet(f"{folder}/vertices.parquet")
+
+
+def is_current(spark: SparkSession, folder: str, source: str, options: dict | None = None) -> bool:
+    """Whether folder has a graph of this format made from source as it is now, read with these options."""
     manifest = _manifest(spark, folder)
-    return bool(manifest) and manifest["version"] == FORMAT_VERSION and manifest["source"] == _stamp(spark, source)
+    return bool(manifest) and manifest["version"] == FORMAT_VERSION and manifest["source"] == _stamp(spark, source) and manifest["options"] == (options or {})
 
 
 def open_graph(spark: SparkSession, source: str, folder: str, **options: object) -> Graph:
     """The graph kept in folder if it is current, else read from source and kept there."""
-    if not is_current(spark, folder, source):
-        save_graph(read_graph(spark, source, **options), folder, source)
+    if not is_current(spark, folder, source, options):
+        save_graph(read_graph(spark, source, **options), folder, source, options)
     return load_graph(spark, folder)
 
 
+#: A quadratic generator of numbers below the prime 2**31 - 1, and its numbers.
+PRIME, FACTOR, ROUNDS = (1 << 31) - 1, 48271, 3
+
+
+def drawn_sql(seed: int, k: int) -> str:
+    """SQL that Spark and DuckDB both read: the k-th number below 2**31 drawn for a row's id, whatever the partitions."""
+    x = f"((id + {(seed * 8 + k) * 7919 + 1}) % {PRIME})"
+    for r in range(ROUNDS):
+        x = f"(({x} * ({x} + {FACTOR}) + {(k + 1) * 104729 + r * 1299709}) % {PRIME})"
+    return x
+
+
 def random_edges(spark: SparkSession, n: int = 1000, seed: int = 0) -> DataFrame:
-    """n edges with ends drawn from 0..n-1; where both are equal, dst is drawn once more."""
-    draw = lambda k: F.floor(F.rand(seed + k) * n).cast("long")
-    drawn = spark.range(n).select(draw(0).alias("src"), draw(1).alias("dst"), draw(2).alias("again"))
-    return drawn.select("src", F.when(F.col("src") == F.col("dst"), F.col("again")).otherwise(F.col("dst")).alias("dst"), F.lit(0.0).alias("value"))
+    """n edges with ends drawn from 0..n-1 by a hash of the row; where both are equal, dst is drawn once more."""
+    drawn = spark.range(n).selectExpr(*(f"({drawn_sql(seed, 2 * k)} * {1 << 31} + {drawn_sql(seed, 2 * k + 1)}) % {n} AS {name}" for k, name in enumerate(("src", "first", "again"))))
+    return drawn.select("src", F.when(F.col("src") == F.col("first"), F.col("again")).otherwise(F.col("first")).alias("dst"), F.lit(0.0).alias("value"))
 
 
 def write_edges(edges: DataFrame, path: str, weighted: bool = False) -> None:

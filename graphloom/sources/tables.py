@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.running import with_next
 from graphloom.model import Graph
 
 #: Name: (table, src, dst, value, condition) as SQL that Spark and DuckDB both read.
@@ -19,10 +20,10 @@ DEFINITIONS = {
 
 def edges_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "seq":
-        # one order over all events is the graph's definition; only two ids and a weight are kept per row
-        order = Window.orderBy("ts", "event_id")
+        # one order over all events, sorted a minute at a time
         events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
-        return events.select(F.col("user_id").alias("src"), F.lead("user_id").over(order).alias("dst"), "value").where("dst is not null")
+        ahead = with_next(events, ("ts", "event_id"), F.date_trunc("minute", "ts"), "user_id", "dst")
+        return ahead.select(F.col("user_id").alias("src"), "dst", "value").where("dst is not null")
     table, src, dst, value, condition = DEFINITIONS[name]
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").where(condition)
     return rows.selectExpr(f"{src} AS src", f"{dst} AS dst", f"CAST({value or 0} AS DOUBLE) AS value")

@@ -193,3 +193,172 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("degrees").collect())) == [(1, 0, 1), (2, 2, 1)]
+
+
+def test_stars():
+    import numpy as np
+    from graphloom.operators.components import stars
+
+    rng = random.Random(3)
+    for n in (0, 1, 5, 60, 400):
+        pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(n)] + [(k, k + 1) for k in range(500, 500 + n)]
+        found = stars(*(np.array([p[k] for p in pairs], np.int64) for k in (0, 1)))
+        labels = union_find(pairs, {i for p in pairs for i in p})
+        assert dict(zip(*(x.tolist() for x in found))) == {i: x for i, x in labels.items() if i != x}
+
+
+def plain_intervals(pairs, budget):
+    """The greedy cut, one destination after the other."""
+    degrees = {}
+    for _, b in pairs:
+        degrees[b] = degrees.get(b, 0) + 1
+    count, size = partition.plan(len(pairs), budget)
+    out = []
+    for i in sorted(degrees):
+        if out and (len(out) == count or out[-1][2] + degrees[i] <= size // 4):
+            out[-1] = [i, out[-1][1] + 1, out[-1][2] + degrees[i]]
+        else:
+            out.append([i, 1, degrees[i]])
+    out[-1][0] = max(map(max, pairs))
+    return [(k, out[k - 1][0] + 1 if k else 0, *x) for k, x in enumerate(out)]
+
+
+def test_intervals_of_many_blocks(spark):
+    """Chains over blocks no longer than an interval, with destinations larger than several blocks."""
+    rng = random.Random(8)
+    pairs = [(rng.randrange(300), int(300 * rng.random() ** 2)) for _ in range(2000)] + [(1, 170)] * 700 + [(2, 299)] * 300
+    g = graph(spark, pairs)
+    for budget, block in ((400, 1), (90, 1), (400, 350), (4000, 1), (4 * 900, 100)):
+        parts = partition.intervals(g, budget, block)
+        assert sorted(map(tuple, parts.collect())) == plain_intervals(pairs, budget)
+    parts = sorted(map(tuple, parts.collect()))
+    found = {(r.dst, r.interval) for r in partition.assign(g, partition.intervals(g, budget, block)).collect()}
+    assert found == {(b, k) for _, b in pairs for k, lo, hi, *_ in parts if lo <= b <= hi}
+
+
+def test_last_at_most(spark):
+    from graphloom.functions.search import last_at_most
+
+    for n in (0, 1, 2, 3, 8, 13):
+        bounds = list(range(0, 10 * n, 10))
+        rows = spark.range(-2, 10 * n + 3).select("id", last_at_most(F.lit(bounds).cast("array<long>") if n else F.array().cast("array<long>"), F.col("id")).alias("at")).collect()
+        assert all(r["at"] == sum(b <= r.id for b in bounds) - 1 for r in rows)
+
+
+def test_running_sums_and_next(spark):
+    from graphloom.functions.running import running_sums, with_next
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randrange(60), k) for k in range(200)]
+    df = spark.createDataFrame(rows, "g string, key long, k long")
+    found = {(r.g, r.k): r.s for r in running_sums(df, "key", {"s": F.col("k")}, ("g",), ("k",), chunk=7).collect()}
+    assert found == {(g, k): sum(z for x, y, z in rows if x == g and (y, z) <= (key, k)) for g, key, k in rows}
+    ahead = {r.k: r.n for r in with_next(df, ("key", "k"), F.floor(F.col("key") / 9), "k", "n").collect()}
+    order = [k for _, _, k in sorted(rows, key=lambda r: r[1:])]
+    assert ahead == dict(zip(order, [*order[1:], None]))
+
+
+@pytest.mark.parametrize(("split_from", "local"), [(0, 0), (0, 40), (1_000_000, 0), (1_000_000, 40)])
+def test_components_of_hubs(spark, monkeypatch, split_from, local):
+    from graphloom.operators import components
+
+    monkeypatch.setattr(components, "SPLIT_FROM", split_from)
+    monkeypatch.setattr(components, "LOCAL", local)
+    rng = random.Random(local)
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(110)] + [(200, k) for k in range(201, 230)] + [(230, 229), (231, 231)]
+    found = as_dict(components.component_labels(spark.createDataFrame([*pairs, (None, 3)], "src long, dst long")))
+    pairs = [p for p in pairs if p[0] != p[1]]
+    assert found == union_find(pairs, {i for p in pairs for i in p})
+
+
+def test_distance_cut_short(spark):
+    path = graph(spark, [(i, i + 1) for i in range(12)])
+    with pytest.raises(RuntimeError, match="further apart"):
+        shortest_distances(path, [(0, 12)], max_levels=2)
+    assert shortest_distances(path, [(0, 12), (0, 3)], max_levels=2, allow_partial=True).orderBy("dst").collect()[0].distance == 3
+    assert shortest_distances(path, [(0, 12)], max_levels=2, allow_partial=True).first().distance is None
+    with pytest.raises(RuntimeError):
+        bfs_levels(path, 0, max_levels=3)
+
+
+def test_tasks_of_a_program(spark):
+    class Changed(MinLabel):
+        def init(self, vertices):
+            return super().init(vertices).withColumn("active", F.lit(False))
+
+        def before_iteration(self, ctx):
+            seen.append(ctx.active)
+            if ctx.iteration == 0:
+                ctx.clear()
+                ctx.add_task(0, 1, 2)
+                ctx.deactivate_range(1, 1)
+                ctx.remove_task(2)
+
+        def after_iteration(self, ctx):
+            if ctx.iteration == 1:
+                ctx.clear()
+                ctx.stop()
+
+    class Woken(Changed):
+        def init(self, vertices):
+            return super().init(vertices).withColumn("active", F.col("id") == 5)
+
+    g, seen = graph(spark, [(0, 1), (1, 2), (2, 3), (4, 5)]), []
+    assert as_dict(run(g, Changed())) == dict(enumerate(map(float, range(6)))) and seen == []
+    assert as_dict(run(g, Woken())) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5} and seen == [1, 1]
+
+
+def test_kept_graph_follows_its_options(spark, tmp_path):
+    source, folder = write(tmp_path, MIXED), str(tmp_path / "kept")
+    assert edgelist.open_graph(spark, source, folder).dense
+    assert not edgelist.open_graph(spark, source, folder, dense=False).dense
+    edgelist.save_values(spark.createDataFrame([(1, 7.0)], "id long, value double"), folder)
+    assert as_dict(edgelist.load_graph(spark, folder).vertices())[1] == 7.0
+    with pytest.raises(FileNotFoundError):
+        edgelist.load_graph(spark, str(tmp_path / "none"))
+
+
+def test_generator_on_any_partitions(spark):
+    one, two = (sorted(map(tuple, edgelist.random_edges(spark, 300, 3).repartition(n).collect())) for n in (1, 5))
+    assert one == two != sorted(map(tuple, edgelist.random_edges(spark, 300, 4).collect()))
+    ends = [x for r in edgelist.random_edges(spark, 20000, 1).collect() for x in r[:2]]
+    eighths = [sum(x * 8 // 20000 == k for x in ends) for k in range(8)]
+    assert max(abs(n - 5000) for n in eighths) < 300 and len(set(ends)) > 0.84 * 20000
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from graphloom.scratch import shared_root
+
+    context = SimpleNamespace(master="spark://far:7077", getConf=lambda: {})
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared_root(SimpleNamespace(conf={}, sparkContext=context))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from graphloom.__main__ import main
+
+    path = write(tmp_path, MIXED)
+    main(["components", path, "--top", "1", "--cache"])
+    out = capsys.readouterr().out
+    assert "2 components" in out and "|    1|   3|" in out and "read: " in out and "components: " in out
+    main(["distance", path, "--src", "1", "--dst", "3"])
+    main(["distance", path, "--src", "1", "--dst", "6"])
+    main(["info", path])
+    out = capsys.readouterr().out
+    assert "distance 1\n" in out and "no path\n" in out and "|    6|       9|               5|" in out
+    main(["generate", str(tmp_path / "made"), "-n", "50", "--seed", "2"])
+    assert edgelist.read_edges(spark, str(tmp_path / "made")).count() == 50
+
+
+def test_timers():
+    from graphloom.timing import Timers
+
+    timers = Timers()
+    for _ in range(2):
+        with timers.phase("one"):
+            pass
+    with pytest.raises(ValueError), timers.phase("two"):
+        raise ValueError
+    assert list(timers.seconds) == ["one", "two"] and timers.report().startswith("one: 0.0")
