@@ -188,6 +188,7 @@ def vectors(spark, tmp_path):
     centres = rng.standard_normal((20, 24))
     rows = [(k, (centres[k % 20] + rng.standard_normal(24) * (0.05 if k % 3 else 2)).tolist(), 1) for k in range(300)]
     rows += [(300, None, 1), (301, [0.0] * 24, 1), (302, [float("nan")] * 24, 1), (303, [None] + [1.0] * 23, 1), (304, rows[1][1], 1), (304, rows[1][1], 1), (305, [], 1), (None, rows[2][1], None)]
+    rows += [(306, [2e6] + [0.0] * 23, 1), (350, [1e6] + [-3e5] * 23, 1)]
     return rows, folder(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tmp_path, "embeddings")
 
 
@@ -217,17 +218,38 @@ def test_lattice(spark, tmp_path):
     assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in found) == expected
 
 
-def test_ball_tree(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(op7_ball_tree, "SHARD", 64)
-    rows, d = vectors(spark, tmp_path)
-    part = [(i, np.floor(256 * np.array((v + [0.0] * 24)[:24]))) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+@pytest.mark.parametrize(("shard", "growth"), [(64, 2), (40, 8), (8192, 8)])
+def test_ball_tree(spark, tmp_path, monkeypatch, shard, growth):
+    """Several shards and rounds, components beyond 2**20 and 2**40, ids that are null or repeated, other lengths."""
+    monkeypatch.setattr(op7_ball_tree, "SHARD", shard)
+    monkeypatch.setattr(op7_ball_tree, "GROWTH", growth)
+    monkeypatch.setattr(op7_ball_tree, "BATCH", 3)
+    rows, _ = vectors(spark, tmp_path)
+    rows += [(400, [2e6] + [0.0] * 23, 1), (401, [3e6, -7.3] + [1.5] * 22, 1), (402, [-(2.0**40) - 0.25], 1), (403, [2.0**-40] * 24, 1), (None, [5e6, 1.0], 1)]
+    d = folder(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("row", F.lit(1)).withColumn("shard", F.lit("x")), tmp_path, "embeddings")
+    whole = lambda v: [int(np.floor(256 * x)) for x in (v + [0.0] * 24)[:24]]
+    part = [(i, whole(v)) for i, v, _ in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     expected = []
     for q, (i, v) in enumerate(part):
-        if i % 50 == 0:
-            best = sorted((-int(v @ w), j) for k, (j, w) in enumerate(part) if k != q)[:5]
-            expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+        if i is not None and i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j is None, j or 0, j) for k, (j, w) in enumerate(part) if k != q)[:5]
+            expected += [(i, n + 1, j, -s) for n, (s, _, _, j) in enumerate(best)]
     found = op7_ball_tree.op7_ball_tree(spark, d).collect()
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == sorted(expected)
+    assert sorted(str((r.query_id, r["rank"], r.vec_id, r.score)) for r in found) == sorted(map(str, expected))
+
+
+def test_ball_tree_few_and_too_large(spark, tmp_path):
+    few = [(0, [1.0, 2.0]), (50, [3.0]), (7, [0.0, -1.0])]
+    d = folder(spark.createDataFrame(few, "vec_id long, embedding array<double>"), tmp_path, "embeddings")
+    found = {(r.query_id, r["rank"], r.vec_id, r.score) for r in op7_ball_tree.op7_ball_tree(spark, d).collect()}
+    assert found == {(0, 1, 50, 256 * 768), (0, 2, 7, -512 * 256), (50, 1, 0, 256 * 768), (50, 2, 7, 0)}
+    huge = [(0, [1e300, 1.0]), (50, [1e300, 0.0])]
+    d = folder(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), tmp_path, "embeddings")
+    with pytest.raises(Exception, match="Overflow"):
+        op7_ball_tree.op7_ball_tree(spark, d).collect()
+    opposite = [(0, [1e300, -1e300, 1.0]), (50, [1e300, 1e300, 2.0])]
+    d = folder(spark.createDataFrame(opposite, "vec_id long, embedding array<double>"), tmp_path, "embeddings")
+    assert {(r.query_id, r.vec_id, r.score) for r in op7_ball_tree.op7_ball_tree(spark, d).collect()} == {(0, 50, 2 << 16), (50, 0, 2 << 16)}
 
 
 def test_mixing(spark, docs, tmp_path):
