@@ -5,10 +5,11 @@ packing there. The cell is a key; so are the PROBES cells next nearest to the pr
 residual's product with the 240 shortest lattice vectors. Vectors that share a key in any table are compared by cosine
 in double precision.
 
-A key's vectors are compared in tiles of at most about TILE rows, and only a spanning forest of the links found leaves
-a tile pair, so what is emitted grows with the rows, not with their pairs, and no key is gathered in one task.
-Components are those of the forests' union. Links are then counted exactly inside each component, again tile by
-tile, which also finds links that no table had.
+Equal vectors are first merged into classes, by 128 bits of hashes, and only a class's first row goes on, with the class's size as
+its weight; so copies never meet, however many there are. A key's vectors are compared in tiles of at most about TILE rows,
+and only a spanning forest of the links found leaves a tile pair, so what is emitted grows with the classes, not with
+their pairs, and no key is gathered in one task. Components are those of the forests' union. Links are then counted exactly
+inside each component, again tile by tile and by weight, which also finds links that no table had.
 
 Defined results: vectors that are null, zero or hold null or non-finite components have no link and are
 their own component; vectors of different lengths are not comparable and don't link; rows with equal vec_id
@@ -33,10 +34,10 @@ from graphloom.operators.components import component_labels
 from graphloom.scratch import Scratch
 
 COSINE = 0.95
-TABLES = 8
+TABLES = 6
 BLOCKS = 2
-#: Mean size of a unit vector's projection to one dimension; lattice points are 2 ** 0.5 apart at least. With 8 tables and 7 probes,
-#: 99.4 % of pairs at cosine 0.95 and all at 0.975 share a key (3,000 random pairs of 64 dimensions each).
+#: Mean size of a unit vector's projection to one dimension; lattice points are 2 ** 0.5 apart at least. With 6 tables and 7 probes,
+#: 98.8 % of pairs at cosine 0.95, 99.7 % at 0.96 and all at 0.975 share a key (3,000 random pairs of 64 dimensions each).
 SCALE = 0.8
 PROBES = 7
 SEED = 3
@@ -118,11 +119,13 @@ def _emit_keys(vectors: DataFrame) -> DataFrame:
             rows = batch.column(0).to_numpy()
             for places, values in matrix(batch.column(1)):
                 for begin in range(0, len(places), 4096):
-                    found = keys(unit(values[begin : begin + 4096]))
+                    found = np.sort(keys(unit(values[begin : begin + 4096])), 1)
                     own = np.repeat(rows[places[begin : begin + 4096]], found.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), pa.array(own)], names=["key", "row"])
+                    once = np.ones(found.shape, bool)
+                    once[:, 1:] = found[:, 1:] != found[:, :-1]
+                    yield pa.RecordBatch.from_arrays([pa.array(found[once]), pa.array(own[once.reshape(-1)])], names=["key", "row"])
 
-    return vectors.select("row", "v").mapInArrow(run, "key long, row long").distinct()
+    return vectors.select("row", "v").mapInArrow(run, "key long, row long")
 
 
 def forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
@@ -144,11 +147,11 @@ def forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _tiled(members: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """(key, a, b, left, row, v): members (key, row) of keys with at least two, dealt out by pairs of tiles."""
+    """(key, a, b, left, row, v, weight): members (key, row) of keys with at least two, dealt out by pairs of tiles."""
     sizes = members.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
     met = members.join(sizes, key).select(key, "row", F.explode(tile_pairs(F.col("row"), F.ceil(F.col("n") / TILE))).alias("t"))
     dealt = met.select(F.col(key).alias("key"), "t.a", "t.b", "t.left", "row").join(vectors, "row")
-    return dealt.select("key", "a", "b", "left", "row", "v").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return dealt.select("key", "a", "b", "left", "row", "v", "weight").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
 
 
 def _vectors(group: pa.Table) -> np.ndarray:
@@ -178,38 +181,46 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def count_links(vectors: DataFrame, labels: DataFrame, cosine: float) -> DataFrame:
-    """(row, n_links): for each member of a component of at least two, the others in it at that cosine."""
+    """(row, near): for each class in a component of at least two, the weight of those in it at that cosine, its own included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, a, b), group in groups(batches, 3):
-            rows, left, v = group.column("row").to_numpy(), group.column("left").to_numpy(), _vectors(group)
+            rows, left, weight, v = *(group.column(c).to_numpy() for c in ("row", "left", "weight")), _vectors(group)
             if a == b:
                 near = v @ v.T >= cosine
-                np.fill_diagonal(near, False)
-                counts = near.sum(1)
+                np.fill_diagonal(near, True)
+                counts = near @ weight
             else:
                 near = v[left] @ v[~left].T >= cosine
                 counts = np.zeros(len(rows), np.int64)
-                counts[left], counts[~left] = near.sum(1), near.sum(0)
+                counts[left], counts[~left] = near @ weight[~left], near.T @ weight[left]
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(counts.astype(np.int64))], names=["row", "n"])
 
     members = labels.select(F.col("label").alias("key"), F.col("id").alias("row"))
-    return _tiled(members, vectors, "key").mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("n_links"))
+    return _tiled(members, vectors, "key").mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("near"))
 
 
 def near_vectors(table_: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row."""
     scratch = Scratch(table_.sparkSession, "lattice")
     rows = numbered(table_, scratch, id_col, vector_col)
-    vectors = rows.where("v is not null").where(F.exists("v", lambda x: x != 0)).select("row", "v")
+    part = rows.where("v is not null").where(F.exists("v", lambda x: x != 0))
+    hashed = scratch.save(part.select("row", *(F.xxhash64(F.lit(k), "v").alias(f"h{k}") for k in range(2))), "hashes")
+    classes = scratch.save(hashed.groupBy("h0", "h1").agg(F.min("row").alias("first"), F.count("*").alias("weight")), "classes")
+    vectors = scratch.save(part.select("row", "v").join(classes.select(F.col("first").alias("row"), "weight"), "row"), "vectors")
     emitted = scratch.save(_emit_keys(vectors), "keys")
     found = scratch.save(links(vectors, emitted, cosine), "links")
+    scratch.drop("keys")
     labels = scratch.save(component_labels(found, "src", "dst", Scratch(table_.sparkSession, "lattice-components")), "labels")
     counts = scratch.save(count_links(vectors, labels, cosine), "counts")
-    linked = rows.select("row", "vec_id").join(labels.withColumnRenamed("id", "row"), "row", "left").join(counts, "row", "left")
+    scratch.drop("links", "vectors")
+    of_class = classes.join(labels, F.col("first") == F.col("id"), "left").join(counts, F.col("first") == counts.row, "left")
+    of_class = of_class.select("h0", "h1", F.coalesce("label", "first").alias("label"), (F.coalesce("near", "weight") - 1).alias("n_links"))
+    linked = rows.select("row", "vec_id").join(hashed.join(of_class, ["h0", "h1"]), "row", "left")
     named = scratch.save(linked.select("vec_id", F.coalesce("label", "row").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
-    smallest = named.groupBy("label").agg(F.min("vec_id").alias("component_id"))
-    return named.join(scratch.save(smallest, "smallest"), "label").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    scratch.drop("hashes", "classes", "labels", "counts", "numbered")
+    smallest = scratch.save(named.groupBy("label").agg(F.min("vec_id").alias("component_id")), "smallest")
+    return named.join(smallest, "label").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

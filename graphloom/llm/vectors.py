@@ -19,11 +19,17 @@ def usable(vector: Column) -> Column:
 
 
 def numbered(table: DataFrame, scratch: Scratch, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(row, vec_id, v): rows numbered and written once, so that the numbers hold; v is null where it isn't usable."""
-    vector = F.col(vector_col).cast("array<double>")
+    """(row, vec_id, v): rows numbered and written once, so that the numbers hold; v is null where it isn't usable, else of doubles.
+
+    Floats are written as such.
+    """
+    vector = F.col(vector_col)
+    if dict(table.dtypes)[vector_col] != "array<float>":
+        vector = vector.cast("array<double>")
     chosen = table.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v"))
     chosen = chosen.withColumn("v", F.when(usable(F.col("v")), F.col("v")))
-    return scratch.save(chosen.withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "v"), "numbered")
+    saved = scratch.save(chosen.withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "v"), "numbered")
+    return saved.withColumn("v", F.col("v").cast("array<double>"))
 
 
 def matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:

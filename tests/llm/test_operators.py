@@ -203,8 +203,16 @@ def test_vector_sql(spark, tmp_path, module):
         assert sorted(str(tuple(r[c] for c in names)) for r in query(spark, folder_).collect()) == expected != []
 
 
-def test_lattice(spark, tmp_path):
-    rows, d = vectors(spark, tmp_path)
+@pytest.mark.parametrize("tile", [2048, 4])
+def test_lattice(spark, tmp_path, monkeypatch, tile):
+    """Also with many pairs of tiles, copies among linked vectors, and columns named as inner ones."""
+    monkeypatch.setattr(op3_lattice, "TILE", tile)
+    rows, _ = vectors(spark, tmp_path)
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(24)
+    near = [(1000 + k, (centre + 0.1 * rng.standard_normal(24)).tolist(), 1) for k in range(40)]
+    rows += near + [(2000 + k, near[k % 3][1], 1) for k in range(30)] + [(2100 + k, rows[0][1], 1) for k in range(12)]
+    d = folder(spark.createDataFrame(rows, "vec_id long, embedding array<double>, row int").withColumn("label", F.lit("x")).withColumn("n_links", F.lit(1)).withColumn("h0", F.lit(2)), tmp_path, "embeddings")
     good = [v and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, _ in rows]
     unit = np.array([np.array(v) / np.linalg.norm(v) if g else np.zeros(24) for (_, v, _), g in zip(rows, good)])
     near = unit @ unit.T >= 0.95
