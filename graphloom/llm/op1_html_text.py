@@ -1,9 +1,10 @@
 """Main text of web pages: markup decides where it can, a suffix array per host where it can't.
 
-A page is parsed into blocks. Blocks inside <article> or <main> are content; blocks inside menus, headers, footers,
-sidebars, forms, notices, adverts and comments (by element or by the words of class, id and role) are not. What stands
-in neither is undecided, and there the host's pages are compared: a page's undecided blocks are concatenated to one
-token stream, and all suffixes of the host's streams are put in order by their first WINDOW tokens, in sorted ranges.
+A page is parsed into blocks. Blocks inside <article> or <main> are content, but for menus, sidebars, footers, forms, adverts,
+notices and comments in them; outside, such blocks and headers are rejected. This goes by element, by role, and by names in class and
+id that say nothing else: "ad" and "share-buttons" do, "social-history" and "entry-header" don't. What stands in
+neither is undecided, and there the host's pages are compared: of the hosts that have such blocks, the pages' undecided and rejected blocks are
+concatenated to one token stream a page, and all suffixes of the streams are put in order by their first WINDOW tokens, in sorted ranges.
 Where neighbours of different pages have these tokens in common, the tokens are a repeated run, and a longer run is
 covered by the suffixes that begin in it. Undecided tokens that a repeated run covers are removed, others stay. Runs go
 across blocks, so a block of fewer tokens goes only as part of a longer run, and streams of fewer than WINDOW tokens
@@ -16,8 +17,8 @@ last tokens, a row or two a range.
 Articles are kept even where pages repeat them, as mirrored articles are main text: a host's mirrors, whose streams are
 equal or have MIRROR_SHARE of their windows in common, count as one page, and so do mirrors of these. The common share is
 estimated from MINIMA least hashes of the windows; candidates agree in one of BANDS groups of these, and are compared
-with the group's first, so their number grows with the pages. Adverts and menus that markup rejects aren't part of a stream,
-so they neither part mirrors nor are evidence. Pages that differ in less than that from each other keep their common text
+with the group's first, so their number grows with the pages. Adverts and menus that markup rejects are evidence,
+but don't part mirrors. Pages that differ in less than that from each other keep their common text
 even if it is a template; where they differ more, only equal runs are removed.
 
 Defined results: null and empty html give the empty text; a null url is a host of its own; rows with equal
@@ -72,44 +73,111 @@ REJECT_WORDS = frozenset(
     "share sharing social newsletter subscribe subscription signup login comment comments disqus respond replies popup modal overlay "
     "contentinfo complementary search toolbar skip".split()
 )
+#: Words that may stand beside these in a name, and add nothing.
+PLAIN_WORDS = frozenset("area bar block body bottom box button buttons container content form group inline inner item items left link links list main outer panel post posts right section site slot thread top unit wrap wrapper".split())
 #: What stays rejected although an <article> begins in it.
 FIRM_WORDS = frozenset("comment comments disqus respond replies related recommended ad ads advert adverts advertisement advertising sponsored".split())
+#: Elements and names that are part of an article if they stand in it.
+INNER_PART = frozenset("header masthead".split())
+#: Words beside these that tell of a part's header, not of the page's.
+PART_WORDS = frozenset("block content item items panel post posts section".split())
 MAIN_WORDS = frozenset("article main".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*)(?:>|\Z)""", re.S
+)
+_ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+
+
+def _named(value: str) -> tuple[set[str], set[str]]:
+    """Of the names in an attribute's value: the rejecting words of those that say nothing else, and all words."""
+    rejecting: set[str] = set()
+    every: set[str] = set()
+    for name in value.split():
+        words = {w for w in _WORDS.findall(_CAMEL.sub(" ", name).lower()) if not w.isdigit()}
+        every |= words
+        found = words & REJECT_WORDS
+        if found and not words - found - PLAIN_WORDS and not (found <= INNER_PART and words & PART_WORDS):
+            rejecting |= found
+    return rejecting, every
 
 
 def _mood(name: str, attributes: str, now: int, firm: bool) -> tuple[int, bool, bool]:
     """(zone, firmly rejected, hidden) of an element inside a zone."""
-    words: set[str] = set()
+    rejecting: set[str] = set()
+    every: set[str] = set()
     hidden = name in HIDDEN
     if attributes and "=" in attributes or "hidden" in attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value):
                 hidden = True
-            elif key != "aria-hidden":
-                words.update(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
+            elif key in ("class", "id", "role"):
+                for found, words in zip((rejecting, every), _named(value)):
+                    found |= words
     if firm:
+        return now, True, hidden
+    if now == CONTENT:
+        inner = (name in NOT_MAIN or bool(rejecting)) and name not in INNER_PART and not (rejecting and rejecting <= INNER_PART)
+        return (REJECTED, True, hidden) if inner else (CONTENT, False, hidden)
+    if name in MAIN or every & MAIN_WORDS and not rejecting and not every & REJECT_WORDS:
+        return (REJECTED, True, hidden) if rejecting & FIRM_WORDS else (CONTENT, False, hidden)
+    if rejecting & FIRM_WORDS or name in ("aside", "footer"):
         return REJECTED, True, hidden
-    if name in MAIN or words & MAIN_WORDS and not words & REJECT_WORDS:
-        return (REJECTED, True, hidden) if words & FIRM_WORDS else (CONTENT, False, hidden)
-    if words & FIRM_WORDS or name in ("aside", "footer"):
-        return REJECTED, True, hidden
-    if name in NOT_MAIN or words & REJECT_WORDS:
+    if name in NOT_MAIN or rejecting:
         return REJECTED, False, hidden
     return now, False, hidden
 
 
+class _Open:
+    """The open elements, with where each name and the blocks among them stand, so that no end tag walks over all."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool, bool]] = []  # element, zone, firmly rejected, hidden
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, element: tuple[str, int, bool, bool]) -> None:
+        self.places.setdefault(element[0], []).append(len(self.stack))
+        if element[0] in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+
+    def mood(self) -> tuple[int, bool, bool]:
+        return self.stack[-1][1:] if self.stack else (UNDECIDED, False, False)
+
+    def pop(self, to: int) -> bool:
+        """Whether a block was among them."""
+        while len(self.stack) > to:
+            name = self.stack.pop()[0]
+            if name:
+                self.places[name].pop()
+        found = False
+        while self.blocks and self.blocks[-1] >= to:
+            self.blocks.pop()
+            found = True
+        return found
+
+    def place(self, name: str) -> int | None:
+        """Where the innermost element of that name stands."""
+        found = self.places.get(name)
+        return found[-1] if found else None
+
+    def forget(self, name: str) -> None:
+        """An inline element ends though blocks are open in it; these keep what they took from it."""
+        at = self.places[name].pop()
+        self.stack[at] = ("", *self.stack[at][1:])
+
+
 def blocks_of(page: str) -> list[tuple[str, int]]:
     """(text, zone) of each block with text, in page order."""
     out: list[tuple[str, int]] = []
     pieces: list[str] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # element, zone, firmly rejected, hidden
-    zone, firm, hidden = UNDECIDED, False, False
+    opened = _Open()
+    zone, firm, hidden = opened.mood()
     at = 0
 
     def close() -> None:
@@ -121,10 +189,10 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
 
     def pop(to: int) -> None:
         nonlocal zone, firm, hidden
-        if any(x[0] in BLOCKS for x in stack[to:]):
+        if opened.blocks and opened.blocks[-1] >= to:
             close()
-        del stack[to:]
-        zone, firm, hidden = stack[-1][1:] if stack else (UNDECIDED, False, False)
+        opened.pop(to)
+        zone, firm, hidden = opened.mood()
 
     while at < len(page):
         found = _TAG.search(page, at)
@@ -140,40 +208,38 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
             continue
         name = found[3].lower()
         if found[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
+            place = opened.place(name)
+            if place is not None:
+                if name not in BLOCKS and opened.blocks and opened.blocks[-1] > place:
+                    opened.forget(name)
+                else:
+                    pop(place)
             continue
         if name == "br":
             pieces.append(" ")
             continue
-        if stack and stack[-1][0] in ENDED_BY and name in ENDED_BY[stack[-1][0]]:
-            pop(len(stack) - 1)
-        elif name in BLOCKS:
-            for k in range(len(stack) - 1, -1, -1):  # an unclosed <p> ends, with what is open in it
-                if stack[k][0] in ENDED_BY:
-                    if name in ENDED_BY[stack[k][0]]:
-                        pop(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+        if name in BLOCKS:
+            last = opened.blocks[-1] if opened.blocks else None
+            if last is not None and name in ENDED_BY.get(opened.stack[last][0], ()):
+                pop(last)  # an unclosed <p> or <li> ends, with what is open in it
             close()
         if name in VOID:
             continue
         inner = _mood(name, found[4], zone, firm)
         if name in RAW:  # up to its own end, whatever stands in it
-            end = re.compile(rf"</{name}\b[^>]*>|\Z", re.I).search(page, at)
-            at = end.end()
+            at = _RAW_ENDS[name].search(page, at).end()
             continue
         if found[4].endswith("/") and name in HIDDEN:
             continue
-        stack.append((name, inner[0], inner[1], inner[2] or hidden))
-        zone, firm, hidden = stack[-1][1:]
+        opened.push((name, inner[0], inner[1], inner[2] or hidden))
+        zone, firm, hidden = opened.mood()
     close()
     return out
 
 
+_RAW_ENDS = {name: re.compile(rf"</{name}\b[^>]*>|\Z", re.I) for name in RAW}
+
+
 def _hash(tokens: list[str]) -> list[int]:
     import xxhash
 
@@ -181,8 +247,8 @@ def _hash(tokens: list[str]) -> list[int]:
 
 
 def stream_of(texts: list[str], zones: list[int]) -> list[str]:
-    """The tokens of a page's undecided blocks, in page order."""
-    return [t for text, z in zip(texts, zones) if z == UNDECIDED for t in text.split()]
+    """The tokens of a page's undecided and rejected blocks, in page order."""
+    return [t for text, z in zip(texts, zones) if z != CONTENT for t in text.split()]
 
 
 def windows(tokens: list[str], window: int = WINDOW) -> np.ndarray:
@@ -238,7 +304,7 @@ def signatures(undecided: DataFrame) -> DataFrame:
 
     def make():
         def apply(batch: pa.RecordBatch) -> list[pa.Array]:
-            streams = [stream_of(texts, zones) for texts, zones in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            streams = [[t for text, z in zip(texts, zones) if z == UNDECIDED for t in text.split()] for texts, zones in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             own = pa.array([_hash([" ".join(x)])[0] >> 1 for x in streams], pa.int64())
             return [batch.column(0), batch.column(1), own, pa.array([minima(windows(x)) for x in streams], pa.list_(pa.int64()))]
 
@@ -247,8 +313,9 @@ def signatures(undecided: DataFrame) -> DataFrame:
     return map_batches(undecided.select("row", "host", "texts", "zones"), "row long, host string, own long, minima array<long>", make)
 
 
-def with_streams(undecided: DataFrame, scratch: Scratch) -> DataFrame:
-    """undecided with a column stream, which mirrors have in common."""
+def with_streams(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """pages with a column stream, which mirrors have in common."""
+    undecided = pages.where(F.array_contains("zones", UNDECIDED))
     marked = scratch.save(signatures(undecided), "signatures")
     distinct = scratch.save(marked.where(F.size("minima") > 0).groupBy("host", "own").agg(F.first("minima").alias("minima")), "streams")
     wide = MINIMA // BANDS
@@ -261,13 +328,14 @@ def with_streams(undecided: DataFrame, scratch: Scratch) -> DataFrame:
     both = pairs.join(one, F.expr("host <=> _host and own = _own")).join(two, F.expr("host <=> _host2 and other = _other"))
     equal = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda same: same))
     links = scratch.save(both.where(equal >= MIRROR_SHARE * MINIMA).select("own", "other"), "mirrors")
-    labels = component_labels(links, "own", "other", Scratch(undecided.sparkSession, "html-mirrors"))
+    labels = component_labels(links, "own", "other", Scratch(pages.sparkSession, "html-mirrors"))
     streams = marked.select(F.col("row").alias("_row"), "own").join(labels, F.col("own") == F.col("id"), "left").select("_row", F.coalesce("label", "own").alias("stream"))
-    return undecided.join(streams, F.col("row") == F.col("_row")).drop("_row")
+    alone = F.xxhash64(F.lit("alone"), "row")  # a page without undecided blocks mirrors none
+    return pages.join(streams, F.col("row") == F.col("_row"), "left").withColumn("stream", F.coalesce("stream", alone)).drop("_row")
 
 
-def suffixes(undecided: DataFrame) -> DataFrame:
-    """(key, stream, row, at): each suffix of the undecided streams, of pages with_streams(), by its host's hash and its first WINDOW tokens."""
+def suffixes(pages: DataFrame) -> DataFrame:
+    """(key, stream, row, at): each suffix of the streams of pages with_streams(), by its host's hash and its first WINDOW tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -284,7 +352,7 @@ def suffixes(undecided: DataFrame) -> DataFrame:
                     columns = [pa.array(keys, pa.binary()), *(pa.array(np.full(len(part), x, np.int64)) for x in (stream, row)), pa.array(np.arange(begin, begin + len(part)))]
                     yield pa.RecordBatch.from_arrays(columns, names=["key", "stream", "row", "at"])
 
-    return undecided.select("row", "host", "texts", "zones", "stream").mapInArrow(run, "key binary, stream long, row long, at long")
+    return pages.select("row", "host", "texts", "zones", "stream").mapInArrow(run, "key binary, stream long, row long, at long")
 
 
 def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,9 +412,9 @@ def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield from ended(True)
 
 
-def repeated_runs(undecided: DataFrame, scratch: Scratch) -> DataFrame:
+def repeated_runs(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, repeated): where in a page's stream the suffixes begin whose first WINDOW tokens another page has."""
-    ordered = suffixes(with_streams(undecided, scratch)).repartitionByRange("key", "stream", "row", "at").sortWithinPartitions("key", "stream")
+    ordered = suffixes(with_streams(pages, scratch)).repartitionByRange("key", "stream", "row", "at").sortWithinPartitions("key", "stream")
     found = scratch.save(ordered.mapInArrow(compare_neighbours, "row long, at long, key binary, lo long, hi long"), "neighbours")
     ends = found.where("key is not null")
     # a row or two a range
@@ -357,12 +425,12 @@ def repeated_runs(undecided: DataFrame, scratch: Scratch) -> DataFrame:
 
 def unique_runs(texts: list[str], zones: list[int], repeated: list[int], window: int = WINDOW) -> list[str]:
     """The blocks of a page without the undecided tokens that a repeated run covers."""
-    covered = np.zeros(sum(len(t.split()) for t, z in zip(texts, zones) if z == UNDECIDED) + window, bool)
+    covered = np.zeros(sum(len(t.split()) for t, z in zip(texts, zones) if z != CONTENT) + window, bool)
     for k in range(window):
         covered[np.array(repeated, np.int64) + k] = True
     out, at = [], 0
     for text, zone in zip(texts, zones):
-        if zone == UNDECIDED:
+        if zone != CONTENT:
             tokens = text.split()
             text = " ".join(t for t, c in zip(tokens, covered[at : at + len(tokens)].tolist()) if not c)
             at += len(tokens)
@@ -394,7 +462,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     names = ["page_id", "url", "texts", "zones", "repeated"]
     if undecided.isEmpty():
         return _joined(plain.select(names))
-    compared = undecided.join(scratch.save(repeated_runs(undecided, scratch), "covers"), "row", "left")
+    hosts = undecided.select(F.coalesce("host", F.lit("")).alias("_host"), F.col("host").isNull().alias("_none")).distinct()
+    same = (F.coalesce("host", F.lit("")) == F.col("_host")) & (F.col("host").isNull() == F.col("_none"))
+    covers = scratch.save(repeated_runs(parsed.join(hosts, same, "left_semi"), scratch), "covers")
+    compared = undecided.join(covers, "row", "left")
     return _joined(plain.where(decided).select(names).unionByName(compared.select(names)))
 
 

@@ -336,10 +336,10 @@ def test_html_articles_whole():
 
 
 def brute_unique(streams, window):
-    """The tokens of each stream that no run of so many tokens in a differing stream covers."""
+    """The tokens of each stream that no run of so many tokens in another page's stream covers."""
     out = []
     for s in streams:
-        others = {tuple(o[k : k + window]) for o in streams if o != s for k in range(len(o) - window + 1)}
+        others = {tuple(o[k : k + window]) for o in streams if o is not s for k in range(len(o) - window + 1)}
         covered = {k + j for k in range(len(s) - window + 1) if tuple(s[k : k + window]) in others for j in range(window)}
         out.append([t for k, t in enumerate(s) if k not in covered])
     return out
@@ -349,15 +349,15 @@ def test_html_runs_across_blocks(spark):
     """Without <article>, what goes is what brute force over the pages' streams finds, wherever blocks begin."""
     rng = random.Random(12)
     common = [rng.choices([f"c{k}" for k in range(9)], k=rng.randrange(3, 30)) for _ in range(8)]
-    hosts, streams, rows = {}, {}, []
+    hosts, streams, rows, menu = {}, {}, [], common[0][:3] * 4
     for k in range(120):
         tokens = [t for _ in range(rng.randrange(1, 5)) for t in (*rng.choice(common), *(f"u{rng.randrange(40)}" for _ in range(rng.randrange(6, 14))))]
         cuts = sorted(rng.sample(range(len(tokens) + 1), min(len(tokens), 4)))
         blocks = [" ".join(tokens[a:b]) for a, b in zip([0, *cuts], [*cuts, len(tokens)])]
         host = rng.choice("xxy")
         hosts.setdefault(host, []).append(k)
-        streams[k] = tokens
-        rows.append((k, f"http://{host}/{k}", "".join(f"<p>{b}</p>" for b in blocks) + "<nav>" + " ".join(common[0]) + "</nav>"))
+        streams[k] = tokens + menu
+        rows.append((k, f"http://{host}/{k}", "".join(f"<p>{b}</p>" for b in blocks) + "<nav>" + " ".join(menu) + "</nav>"))
     expected = {k: t for ks in hosts.values() for k, t in zip(ks, brute_unique([streams[k] for k in ks], op1_html_text.WINDOW))}
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     for parts in (1, 7, 40):
@@ -386,6 +386,43 @@ def test_html_short_blocks_and_mirrors(spark):
     assert found == {k: "\n".join(b) for k, b in {**own, **mirrors}.items()}
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<article><h1 class='entry-header'>H</h1><div class='social-history'>a</div><section id='menu-of-options'>b</section><header><h1>T</h1></header></article>", "H|a|b|T"),
+        ("<article>x<div class='share-buttons'>s</div><p class=ad>a</p><div id=comments>c<article>d</article></div><nav>n</nav>y</article>", "x|y"),
+        ("<main><p title=don't>Hello it's me</p><a href=x?a='b>link</a></main>", "Hello it's me|link"),
+        ("<article><p style='display:none'>h</p><p style='color: red; Visibility : hidden'>i</p><p style='display:nonesuch'>k</p></article>", "k"),
+        ("<article><b>a<div>b</b> c</div>d</article>", "a|b c|d"),
+        ("<article><p>a<span>b</p>c</span>d</article>", "ab|cd"),
+        ("<article><p data-x='1>2' y = \"<p>\">a</p><script>if (a</b) '</p>'</script><p>b &lt;i&gt; &#x41;&amp;amp;</article>tail", "a|b <i> A&amp;|tail"),
+        ("<article><p>a<!-- <p>x</p> --> b<!doctype x>c<![CDATA[<d>]]></article><aside><article>e</article></aside>", "a bc<d>"),
+        ("<div class=header>h</div><div class='post-header'>k</div><form>f<article>g</article></form>", "k|g"),
+    ],
+)
+def test_html_markup(page, expected):
+    assert [t for t, z in op1_html_text.blocks_of(page) if z != op1_html_text.REJECTED] == expected.split("|")
+
+
+@pytest.mark.parametrize("piece", ["<div><span>word word</b>", "<b>x<p>word", "<p>a long word &amp; more</p>\n", "<ul><li>x", "<a href='", "word ", "</i><i>", "<table><tr><td>a"])
+def test_html_long_pages(piece):
+    """A page of a megabyte takes time in proportion: below ten seconds here."""
+    import time
+
+    page = "<article>" + piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    found = op1_html_text.blocks_of(page)
+    assert time.perf_counter() - began < 10 and (found or not re.search("a|x|word", re.sub("<[^>]*>?", "", piece)))
+
+
+def test_html_rejected_text_is_evidence(spark):
+    """An unnamed block goes if it stands in another page's footer; the page's own unique text stays."""
+    line = "all rights are reserved by the owners of this site since long ago"
+    rows = [(1, "http://h/1", f"<div>{line}</div><p>one two three</p>"), (2, "http://h/2", f"<article>kept</article><footer>{line}</footer>"), (3, "http://k/1", f"<div>{line}</div>"), (4, None, f"<p>{line}</p>"), (5, None, f"<p>{line}</p><p>a text that is long enough to be no mirror of the one before</p>")]
+    found = {r.page_id: r.text for r in op1_html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {1: "one two three", 2: "kept", 3: line, 4: "", 5: "a text that is long enough to be no mirror of the one before"}
+
+
 def test_iban_ends(spark, tmp_path):
     """What stands behind an IBAN is no part of it: capitalised and upper-case words, numbers, another IBAN."""
     ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
