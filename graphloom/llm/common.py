@@ -19,6 +19,17 @@ def tokenizer_bytes(path: str) -> bytes:
         return f.read()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 #: Rows whose Python values are held at a time.
 ROWS = 1024
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_batches, table
+from graphloom.llm.common import fresh, map_batches, table
 from graphloom.operators.components import component_labels
 from graphloom.scratch import Scratch
 
@@ -131,20 +131,21 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text stays. Rows whose doc_id is null or repeated are numbered and fingerprinted once more, as their id doesn't tell them apart.
     """
     names, scratch = docs.columns, Scratch(spark, "simhash-kept")
+    own, row, hashed = fresh(docs, "_id", "_row", "_hash")
     marked, of_class = _components(docs, "doc_id", "text", SHINGLE_WORDS)
     first = F.coalesce(F.bool_or(F.col("doc_id") == F.col("component_id")), F.lit(False))
-    ids = marked.join(of_class, "fp").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"), first.alias("first"))
-    ids = scratch.save(ids.where("first or _id is null").select("_id", (F.col("_id").isNotNull() & (F.col("n") == 1)).alias("plain")), "ids")
+    ids = marked.join(of_class, "fp").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("n"), first.alias("first"))
+    ids = scratch.save(ids.where(F.col("first") | F.col(own).isNull()).select(own, (F.col(own).isNotNull() & (F.col("n") == 1)).alias("plain")), "ids")
     # hashed ids, of few bytes a row, and no sort of the texts
-    single = docs.join(ids.where("plain").select("_id").hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi").select(names)
-    odd = ids.where("not plain").select("_id")
+    single = docs.join(ids.where("plain").select(own).hint("shuffle_hash"), F.col("doc_id") == F.col(own), "left_semi").select(names)
+    odd = ids.where("not plain").select(own)
     if odd.isEmpty():
         return single
-    rows = scratch.save(docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_row", F.monotonically_increasing_id()), "repeated")
-    placed = fingerprints(rows, "_row").withColumnRenamed("doc_id", "_row").join(of_class, "fp")
-    placed = placed.join(rows.select("_row", "doc_id", F.xxhash64("text").alias("_hash")), "_row").where("doc_id <=> component_id")
-    stays = placed.groupBy("root").agg(F.min(F.struct("_hash", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
-    return single.unionByName(rows.join(stays, "_row", "left_semi").select(names))
+    rows = scratch.save(docs.join(odd, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").withColumn(row, F.monotonically_increasing_id()), "repeated")
+    placed = fingerprints(rows, row).withColumnRenamed("doc_id", row).join(of_class, "fp")
+    placed = placed.join(rows.select(row, "doc_id", F.xxhash64("text").alias(hashed)), row).where("doc_id <=> component_id")
+    stays = placed.groupBy("root").agg(F.min(F.struct(hashed, row)).alias("least")).select(F.col("least")[row].alias(row))
+    return single.unionByName(rows.join(stays, row, "left_semi").select(names))
 
 
 QUERIES = {"op10_simhash": op10_simhash}

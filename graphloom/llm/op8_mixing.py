@@ -13,22 +13,24 @@ So a document's posterior depends on its scores of all domains.
 With n the tokens (words) of a document, p its posterior and r its rate, a mixture has sum(r * n * p[d]) expected
 tokens of domain d.
 Projected gradient descent fits rates r >= 0 whose expected totals match the targets in the least-squares sense,
-from r = 1 on:
+from r = 1 on. The step is the gradient of the W-weighted squares in the metric that n gives, taken before the projection:
 
-    r <- max(0, r - p . W (A r - t)),   A r = sum(r * n * p),   W = inverse of sum(n * p p^T) + DAMPING * its mean diagonal
+    y <- y - p . W (A r - t),   r = max(0, y),   A r = sum(r * n * p),   W = inverse of sum(n * p p^T) + DAMPING * its mean diagonal
 
-This is the gradient step of length 1 / L of the W-weighted squares in the metric that n gives, so each step descends. The
-damping keeps W bounded where domains can't be told apart, so that targets out of reach don't call for huge rates. Each
-step needs one aggregate of a few numbers; steps end when the targets are met, or when one gains less than LEAST_GAIN of the squares.
+So y = 1 - p . m for one m of the domains' number, which is all that a step changes, and rates that meet the targets are the ones
+nearest to 1. The damping keeps W bounded where domains can't be told apart. The first steps are taken on the
+documents' cells, at most MOST_CELLS sums of documents with posteriors about equal, which come to the driver; from where these lead to,
+each step aggregates all documents. Steps end when the targets are met, or when one gains less than LEAST_GAIN of the squares.
+The greatest share of the mixture that is off its target is returned as unmet.
 Rates may be scaled together without changing the mixture: the greatest rate of the documents that are likeliest of the domain with
 the largest target weight becomes 1, so that none of these is repeated and the purest of them all stay.
 
 All of it is DataFrame functions; what comes to the driver is of the size of the domains. The model has
 BUCKETS rows at most whatever the corpus, and it is broadcast only if its counted rows are few.
 
-Defined results: rows with one doc_id (null included) are one document with the sum of their words and evidence; documents
+Defined results: rows with one doc_id are one document with the sum of their words and evidence, and so are rows without one that have equal texts; documents
 without words have no evidence but their shapes, and no tokens; a word counts once a row as evidence; equal scores go to the domain that sorts first; labels that are null, and labels of
-unknown documents, aren't learned from; several labels of one document each count; without labels there is one
+unknown documents, aren't learned from; more than MOST_DOMAINS combinations of labels raise ValueError; several labels of one document each count; without labels there is one
 domain and every rate is 1; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -42,7 +44,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import fresh, table
 from graphloom.scratch import Scratch
 
 #: Labelled documents that the classifier is fitted on, about, at most.
@@ -68,17 +70,24 @@ STEPS = 60
 TOLERANCE = 1e-4
 LEAST_GAIN = 1e-3
 DAMPING = 0.1
-#: Steps after which rates are written, so that the plan doesn't grow on.
-WRITE_EVERY = 10
+#: Levels of the two greatest posteriors that make a cell, unless there are more than MOST_CELLS of them.
+CELL_LEVELS = 32
+MOST_CELLS = 1 << 14
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[ .,;:!?|\n\t]+"), "")
 
 
+def text_key(id_: Column, text: Column) -> Column:
+    """Tells rows without an id apart; null where there is one."""
+    return F.when(id_.isNull(), F.xxhash64(text))
+
+
 def _with_features(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
-    """(_id, *keep, n_tokens, pos, bucket): a row per document and feature, and its number of words."""
-    read = docs.select(F.col(id_col).alias("_id"), *keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    """(_id, _key, *keep, n_tokens, pos, bucket): a row per document and feature, and its number of words."""
+    keep = ("_key", *keep)
+    read = docs.select(F.col(id_col).alias("_id"), text_key(F.col(id_col), F.col(text_col).cast("string")).alias("_key"), *keep[1:], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     read = read.select("_id", *keep, "_text", words(F.col("_text")).alias("_words"))
     again = F.filter(F.zip_with("_words", F.slice("_words", 2, F.size("_words")), lambda a, b: a == b), lambda same: same)
 
@@ -146,11 +155,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col:
 
 
 def _scores(listed: DataFrame, fitted: Classifier, *keep: str) -> DataFrame:
-    """(_id, *keep, n_tokens, s0, s1, ...) per _id, from the rows of _with_features()."""
+    """(_id, _key, *keep, n_tokens, s0, s1, ...) per document, from the rows of _with_features()."""
     k = len(fitted.domains)
     model = F.broadcast(fitted.model) if fitted.model_rows <= BROADCAST_ROWS else fitted.model
     met = listed.join(model, "bucket", "left").where("pos = 0 or l0 is not null")  # a row per document, and those with evidence
-    return met.groupBy("_id", *keep).agg(
+    return met.groupBy("_id", "_key", *keep).agg(
         F.sum(F.when(F.col("pos") == 0, F.col("n_tokens")).otherwise(0)).alias("n_tokens"),
         *((F.coalesce(F.sum(f"l{d}"), F.lit(0.0)) + math.log(s)).alias(f"s{d}") for d, s in enumerate(fitted.shares)),
     )
@@ -205,9 +214,9 @@ def _calibration(kept_out: DataFrame, domains: list[str]) -> tuple[float, list[f
 
 
 def posteriors(docs: DataFrame, fitted: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, p0, p1, ...) per doc_id."""
+    """(doc_id, text_key, n_tokens, p0, p1, ...) per document."""
     scored = _scores(_with_features(docs, id_col, text_col), fitted)
-    return _softmax(scored, fitted.scale, fitted.shifts, "_id", "n_tokens").drop("top", "whole").withColumnRenamed("_id", "doc_id")
+    return _softmax(scored, fitted.scale, fitted.shifts, "_id", "_key", "n_tokens").drop("top", "whole").withColumnsRenamed({"_id": "doc_id", "_key": "text_key"})
 
 
 def _solve(matrix: list[list[float]], right: list[float], damping: float = DAMPING) -> list[float]:
@@ -227,8 +236,34 @@ def _solve(matrix: list[list[float]], right: list[float], damping: float = DAMPI
     return [rows[k][n] / rows[k][k] for k in range(n)]
 
 
+def _steps(measure, targets: list[float], gram: list[list[float]], total: float, move: list[float], steps: int) -> tuple[list[float], list[float]]:
+    """m after at most so many steps from move, and the totals there; measure(m) gives the totals of rates max(0, 1 - p . m)."""
+    got, before = measure(move), math.inf
+    for _ in range(steps):
+        off = [a - w * total for a, w in zip(got, targets)]
+        change = _solve(gram, off)
+        squares = sum(x * y for x, y in zip(off, change))
+        if math.sqrt(sum(x * x for x in off)) <= TOLERANCE * total or before - squares <= LEAST_GAIN * before < math.inf:
+            break
+        before = squares
+        move = [m + x for m, x in zip(move, change)]
+        got = measure(move)
+    return move, got
+
+
+def _cells(members: DataFrame, k: int) -> list[tuple[float, list[float]]]:
+    """(tokens, mean posterior) of documents whose two likeliest domains, and these posteriors by level, are the same."""
+    levels = max(1, min(CELL_LEVELS, math.isqrt(MOST_CELLS // (k * k))))
+    ordered = F.sort_array(F.array(*(F.struct(F.col(f"p{d}").alias("p"), F.lit(d).alias("d")) for d in range(k))), asc=False)
+    level = lambda p: F.least(F.floor(p * levels), F.lit(levels - 1))
+    key = [F.col("_o")[j][x] if x == "d" else level(F.col("_o")[j][x]) for j in range(min(k, 2)) for x in "dp"]
+    n = F.col("n_tokens")
+    found = members.withColumn("_o", ordered).groupBy(*(x.alias(f"_c{j}") for j, x in enumerate(key))).agg(F.sum(n).alias("n"), *(F.sum(n * F.col(f"p{d}")).alias(f"a{d}") for d in range(k)))
+    return [(float(r["n"]), [r[f"a{d}"] / r["n"] for d in range(k)]) for r in found.where("n > 0").collect()]  # at most k * k * levels * levels
+
+
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], scratch: Scratch, steps: int = STEPS) -> DataFrame:
-    """members (doc_id, n_tokens, p0, ...) with a column rate, fitted over all documents."""
+    """members (n_tokens, p0, ...) with columns rate, fitted over all documents, and unmet, the same in all rows."""
     k = len(domains)
     weights = [targets.get(d, 0.0) for d in domains]
     if not sum(weights):
@@ -236,31 +271,33 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     weights = [w / sum(weights) for w in weights]
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
     n = F.col("n_tokens")
+    posterior = [F.col(f"p{d}") for d in range(k)]
+
+    def rate(move: list[float]) -> Column:
+        return F.greatest(F.lit(0.0), 1 - sum((F.lit(m) * p for m, p in zip(move, posterior)), F.lit(0.0)))
 
-    def totals(df: DataFrame, rate: Column) -> list[float]:
-        row = df.agg(*(F.sum(rate * n * F.col(f"p{d}")).alias(f"a{d}") for d in range(k))).first()
+    def totals(move: list[float]) -> list[float]:
+        row = members.agg(*(F.sum(rate(move) * n * p).alias(f"a{d}") for d, p in enumerate(posterior))).first()
         return [float(row[f"a{d}"] or 0) for d in range(k)]
 
-    row = members.agg(*(F.sum(n * F.col(f"p{a}") * F.col(f"p{b}")).alias(f"g{a}_{b}") for a, b in pairs)).first()
+    row = members.agg(*(F.sum(n * posterior[a] * posterior[b]).alias(f"g{a}_{b}") for a, b in pairs), *(F.sum(n * p).alias(f"a{d}") for d, p in enumerate(posterior))).first()
     gram = [[float(row[f"g{min(a, b)}_{max(a, b)}"] or 0) for b in range(k)] for a in range(k)]
     if not any(gram[d][d] for d in range(k)):
-        return members.withColumn("rate", F.lit(1.0))
-    got = totals(members, F.lit(1.0))
+        return members.withColumns({"rate": F.lit(1.0), "unmet": F.lit(0.0)})
+    got = [float(row[f"a{d}"] or 0) for d in range(k)]
     best = max(range(k), key=lambda d: weights[d])
     total = got[best] / weights[best] if got[best] else sum(got)
-    now, rate, before = members.withColumn("rate", F.lit(1.0)), F.col("rate"), math.inf
-    for step in range(1, steps + 1):
-        off = [a - w * total for a, w in zip(got, weights)]
-        move = _solve(gram, off)
-        squares = sum(x * y for x, y in zip(off, move))
-        if math.sqrt(sum(x * x for x in off)) <= TOLERANCE * total or before - squares <= LEAST_GAIN * before < math.inf:
-            break
-        before = squares
-        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(m) * F.col(f"p{d}") for d, m in enumerate(move)), F.lit(0.0)))
-        if step % WRITE_EVERY == 0:
-            now, rate = scratch.save(now.withColumn("rate", rate), f"rates-{step}"), F.col("rate")
-        got = totals(now, rate)
-    return _scaled(scratch.save(now.withColumn("rate", rate), "rates"), best, k)
+    cells = _cells(members, k)
+
+    def cell_totals(move: list[float]) -> list[float]:
+        rates = [n * max(0.0, 1 - sum(m * x for m, x in zip(move, p))) for n, p in cells]
+        return [sum(r * p[d] for r, (_, p) in zip(rates, cells)) for d in range(k)]
+
+    move, _ = _steps(cell_totals, weights, gram, total, [0.0] * k, steps)
+    move, got = _steps(totals, weights, gram, total, move, steps)
+    whole = sum(got)
+    unmet = max(abs(a / whole - w) for a, w in zip(got, weights)) if whole else 1.0
+    return _scaled(scratch.save(members.withColumns({"rate": rate(move), "unmet": F.lit(unmet)}), "rates"), best, k)
 
 
 def _scaled(fitted: DataFrame, best: int, k: int) -> DataFrame:
@@ -277,26 +314,30 @@ def copies(rate: Column, key: Column) -> Column:
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
-    """(doc_id, n_tokens, p0, ..., rate) per doc_id, and the domains in order."""
+    """(doc_id, text_key, n_tokens, p0, ..., rate, unmet) per document, and the domains in order."""
     scratch = Scratch(docs.sparkSession, "mixing")
     fitted = fit_classifier(docs, labels, scratch)
     members = scratch.save(posteriors(docs, fitted), "members")
     return fit_rates(members, fitted.domains, targets or TARGETS, scratch), fitted.domains
 
 
+def _copies_of(rates: DataFrame) -> Column:
+    return copies(F.col("rate"), F.coalesce(F.col("doc_id"), F.col("text_key")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates, domains = mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     best = F.array_max(F.array(*(F.struct(F.col(f"p{k}").alias("p"), F.lit(d).alias("d")) for k, d in enumerate(domains))))
-    return rates.select("doc_id", "n_tokens", best["d"].alias("top_domain"), best["p"].alias("top_p"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return rates.select("doc_id", "n_tokens", best["d"].alias("top_domain"), best["p"].alias("top_p"), "rate", _copies_of(rates).alias("copies"), "unmet")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document stands as often as its rate says."""
     rates, _ = mixing_rates(docs, table(spark, sf_dir, "labels"))
-    drawn = rates.select(F.col("doc_id").alias("_id"), copies(F.col("rate"), F.col("doc_id")).alias("_copies")).where("_copies > 0")
-    names = docs.columns
-    met = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(names)
+    own, key, number, copy = fresh(docs, "_id", "_key", "_copies", "_copy")
+    drawn = rates.select(F.col("doc_id").alias(own), F.col("text_key").alias(key), _copies_of(rates).alias(number)).where(F.col(number) > 0)
+    met = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col(own)) & text_key(F.col("doc_id"), F.col("text").cast("string")).eqNullSafe(F.col(key)))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(number)))).select(docs.columns)
 
 
 QUERIES = {"op8_mixing": op8_mixing}

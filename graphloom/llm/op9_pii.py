@@ -8,8 +8,9 @@ repeats exactly as often as its country's length asks, so what follows after a b
 
 Base kinds: email; ip with parts at most 255; card, 13 to 19 digits that pass Luhn; phone, 9 to 15 digits. The
 method adds iban, of a country of IBAN_LENGTHS and its length, confirmed by mod-97. Every span has a score: the kind's own
-confidence, more if one of the kind's words stands within CONTEXT characters before it. Scores rank spans;
-base spans stay whatever their score.
+confidence, more if one of the kind's words stands near, less if one of the words stands there that such numbers have without being
+personal. Near are the CONTEXT characters before and after the span, back to the match before last and on to the next match of the kind.
+Scores rank spans; base spans stay whatever their score.
 
 Defined results: null counts as the empty text; offsets are code points, the end exclusive; kinds may overlap
 and each is listed; further columns are ignored; an empty table gives an empty result.
@@ -22,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import fresh, table
 
 CONTEXT = 40
 BLOCK = 256
@@ -42,16 +43,18 @@ class Kind:
     pattern: str  # a Java expression
     words: str  # an expression for words that make it likelier
     score: float
+    against: str  # an expression for words that make it less likely
     needs: str = ""  # an expression without which no match is possible; cheaper to test
     bonus: float = field(default=0.2)
+    malus: float = field(default=0.3)
 
 
 KINDS = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"(?i)\b(e-?mail|mail|contact|write|correo|courriel)\b", 0.8, "@"),
-    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"(?i)\b(ip|address|host|server|adresse|direcci[oó]n)\b", 0.6),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"(?i)\b(card|visa|credit|payment|karte|carte|tarjeta)\b", 0.7),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"(?i)\b(phone|call|tel|mobile|telefon|t[eé]l[eé]phone|tel[eé]fono)\b", 0.6, "+"),
-    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS})(?![A-Za-z0-9])", r"(?i)\b(iban|account|bank|konto|compte|cuenta)\b", 0.8),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"(?i)\b(e-?mail|mail|contact|write|correo|courriel)\b", 0.8, r"(?i)\b(example|noreply|no-reply)\b", "@"),
+    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"(?i)\b(ip|address|host|server|adresse|direcci[oó]n)\b", 0.6, r"(?i)\b(version|release|section|chapter|v)\b"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"(?i)\b(card|visa|credit|payment|karte|carte|tarjeta)\b", 0.7, r"(?i)\b(isbn|order|invoice|tracking|serial)\b"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"(?i)\b(phone|call|tel|mobile|telefon|t[eé]l[eé]phone|tel[eé]fono)\b", 0.6, r"(?i)\b(fax|sum|total|offset)\b", "+"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS})(?![A-Za-z0-9])", r"(?i)\b(iban|account|bank|konto|compte|cuenta)\b", 0.8, r"(?i)\b(serial|part|order)\b"),
 )
 BASE = ("email", "ip", "card", "phone")
 
@@ -99,15 +102,25 @@ def _matches(kind: Kind, text: Column) -> Column:
     return F.when(F.instr(text, kind.needs) > 0, found).otherwise(none) if kind.needs else found
 
 
-PAIR = "struct<before:string,m:string>"
+PAIR = "struct<before:string,m:string,lead:string,trail:string>"
 SPAN = "struct<start:int,end:int,score:double>"
 
 
-def _pairs(kind: Kind, text: Column, matches: Column) -> Column:
-    """Each match with the text between the match before and it."""
-    item = lambda before, m: F.struct(F.coalesce(before, F.lit("")).alias("before"), m.alias("m"))
-    between = F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(matches))
-    return F.when(F.size(matches) > 0, F.zip_with(between, matches, item)).otherwise(F.array().cast(f"array<{PAIR}>"))
+def _between(kind: Kind, text: Column, matches: Column) -> Column:
+    """What lies before, between and after the matches."""
+    return F.when(F.size(matches) > 0, F.split(text, kind.pattern, -1)).otherwise(F.array().cast("array<string>"))
+
+
+def _pairs(between: Column, matches: Column) -> Column:
+    """Each match with the text between the match before and it, and the CONTEXT characters around."""
+    n = F.size(matches)
+    none = F.array(F.lit(""))
+    ahead = lambda x: F.concat(none, F.slice(x, F.lit(1), n - 1))
+    back = F.zip_with(F.zip_with(ahead(between), ahead(matches), lambda x, y: F.concat(x, y)), F.slice(between, F.lit(1), n), lambda x, y: F.right(F.concat(x, y), F.lit(CONTEXT)))
+    around = F.zip_with(back, F.slice(between, F.lit(2), n), lambda x, y: F.struct(x.alias("lead"), F.left(y, F.lit(CONTEXT)).alias("trail")))
+    own = F.zip_with(F.slice(between, F.lit(1), n), matches, lambda x, y: F.struct(x.alias("before"), y.alias("m")))
+    both = F.zip_with(own, around, lambda x, y: F.struct(x["before"].alias("before"), x["m"].alias("m"), y["lead"].alias("lead"), y["trail"].alias("trail")))
+    return F.when(n > 0, both).otherwise(F.array().cast(f"array<{PAIR}>"))
 
 
 def _spans(kind: Kind, pairs: Column) -> Column:
@@ -116,12 +129,13 @@ def _spans(kind: Kind, pairs: Column) -> Column:
     Offsets are running sums. They are taken in blocks of BLOCK matches, as adding to an array copies it.
     """
     length = lambda x: F.length(x["before"]) + F.length(x["m"])
+    near = lambda x, words: x["lead"].rlike(words) | x["trail"].rlike(words)
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["before"])
         end = start + F.length(x["m"])
-        near = F.right(x["before"], F.lit(CONTEXT)).rlike(kind.words)
-        span = F.struct(start.alias("start"), end.alias("end"), (F.lit(kind.score) + F.when(near, kind.bonus).otherwise(0.0)).alias("score"))
+        score = F.lit(kind.score) + F.when(near(x, kind.words), kind.bonus).otherwise(0.0) - F.when(near(x, kind.against), kind.malus).otherwise(0.0)
+        span = F.struct(start.alias("start"), end.alias("end"), F.round(score, 2).alias("score"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.when(_valid(kind.name, x["m"]), span))).alias("spans"))
 
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda k: F.slice(pairs, k * BLOCK + 1, F.lit(BLOCK)))
@@ -133,18 +147,20 @@ def _spans(kind: Kind, pairs: Column) -> Column:
 
 
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with an array of (start, end, score) spans per kind, named after it with `_spans`."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    """docs with an array of (start, end, score) spans per kind, named after it with `_spans`; a column of that name is replaced."""
+    text, kept = F.coalesce(F.col(text_col).cast("string"), F.lit("")), [c for c in docs.columns if c not in {f"{k.name}_spans" for k in KINDS}]
+    found, cut = (dict(zip(KINDS, fresh(docs, *(f"_{k.name}_{part}" for k in KINDS)))) for part in ("matches", "between"))
     return (
-        docs.withColumns({f"{k.name}_spans": _matches(k, text) for k in KINDS})
-        .withColumns({f"{k.name}_spans": _pairs(k, text, F.col(f"{k.name}_spans")) for k in KINDS})
-        .withColumns({f"{k.name}_spans": _spans(k, F.col(f"{k.name}_spans")) for k in KINDS})
+        docs.withColumns({found[k]: _matches(k, text) for k in KINDS})
+        .withColumns({cut[k]: _between(k, text, F.col(found[k])) for k in KINDS})
+        .withColumns({found[k]: _pairs(F.col(cut[k]), F.col(found[k])) for k in KINDS})
+        .select(*kept, *(_spans(k, F.col(found[k])).alias(f"{k.name}_spans") for k in KINDS))
     )
 
 
-def _listed(names: tuple[str, ...]) -> Column:
-    """kind:start:end of the kinds' spans, comma-joined."""
-    spelled = lambda name: lambda s: F.concat_ws(":", F.lit(name), s["start"], s["end"])
+def _listed(names: tuple[str, ...], *more: str) -> Column:
+    """kind:start:end of the kinds' spans, and more of their fields, comma-joined."""
+    spelled = lambda name: lambda s: F.concat_ws(":", F.lit(name), s["start"], s["end"], *(s[c] for c in more))
     return F.array_join(F.concat(*(F.transform(F.col(f"{n}_spans"), spelled(n)) for n in names)), ",")
 
 
@@ -157,6 +173,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(f"{n}_spans").cast("long").alias(f"n_{n}") for n in BASE),
         F.sha2(_listed(BASE), 256).alias("base_sha256"),
         _listed(every).alias("spans"),
+        _listed(every, "score").alias("scores"),
         best.alias("top_score"),
     )
 
@@ -166,7 +183,7 @@ REDACTED = ("email", "iban", "phone", "card", "ip")
 
 
 def _masked(kind: Kind):
-    return lambda x: F.concat(x["before"], F.when(_valid(kind.name, x["m"]), f"<{kind.name.upper()}>").otherwise(x["m"]))
+    return lambda m: F.when(_valid(kind.name, m), f"<{kind.name.upper()}>").otherwise(m)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -175,11 +192,12 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Where matches of two kinds overlap, the kind that is earlier in REDACTED is replaced first.
     """
     names, text = docs.columns, F.col(text_col)
+    found, cut = fresh(docs, "_matches", "_between")
     for kind in sorted(KINDS, key=lambda k: REDACTED.index(k.name)):
-        rest = F.element_at(F.split(text, kind.pattern, -1), -1)
-        pieces = F.transform("_pairs", _masked(kind))
-        docs = docs.withColumn("_matches", _matches(kind, text)).withColumn("_pairs", _pairs(kind, text, F.col("_matches")))
-        docs = docs.withColumn(text_col, F.when(F.size("_pairs") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)).select(names)
+        docs = docs.withColumn(found, _matches(kind, text)).withColumn(cut, _between(kind, text, F.col(found)))
+        masked = F.transform(found, _masked(kind))
+        pieces = F.zip_with(cut, F.concat(masked, F.array(F.lit(""))), lambda x, y: F.concat(x, y))
+        docs = docs.withColumn(text_col, F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(text)).select(names)
     return docs
 
 

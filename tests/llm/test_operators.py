@@ -270,7 +270,7 @@ def test_mixing(spark, docs, tmp_path):
     rates, domains = op8_mixing.mixing_rates(op8_mixing.table(spark, d, "documents"), op8_mixing.table(spark, d, "labels"), {"quality=1,toxic=0": 0.9, "quality=0,toxic=0": 0.1})
     found = rates.collect()
     totals = {x: sum(r.rate * r.n_tokens * r[f"p{k}"] for r in found) for k, x in enumerate(domains)}
-    assert len(found) == 402 and min(r.rate for r in found) >= 0
+    assert len(found) == 402 and min(r.rate for r in found) >= 0 and {r.unmet for r in found} == {found[0].unmet} and found[0].unmet < 0.001
     assert totals["quality=1,toxic=0"] / sum(totals.values()) == pytest.approx(0.9, abs=0.01)
     mixed = op8_mixing.mix(spark, docs, d)
     assert mixed.columns == docs.columns
@@ -306,7 +306,51 @@ def test_mixing_out_of_reach(spark):
     members = spark.createDataFrame([(k, 10 + k, 0.7, 0.2, 0.1) for k in range(50)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
     scratch = op8_mixing.Scratch(spark, "test")
     found = op8_mixing.fit_rates(members, ["a", "b", "c"], {"a": 0.1, "b": 0.1, "c": 0.8}, scratch).collect()
-    assert len({round(r.rate, 9) for r in found}) == 1 and 0 < found[0].rate <= 10
+    assert len({round(r.rate, 9) for r in found}) == 1 and 0 < found[0].rate <= 10 and found[0].unmet == pytest.approx(0.7)
+
+
+def test_mixing_rates_are_least_squares(spark):
+    """Rates that meet the targets, nearest to 1 by tokens: as found by plain alternating projections over all documents."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.6, 0.5, 0.4], 200)
+    n = rng.integers(0, 60, 200)
+    weights = np.array([0.7, 0.2, 0.1])
+    members = spark.createDataFrame([(k, int(n[k]), *map(float, p[k])) for k in range(200)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+    found = {r.doc_id: r for r in op8_mixing.fit_rates(members, list("abc"), dict(zip("abc", weights)), op8_mixing.Scratch(spark, "test")).collect()}
+    t = weights * (n @ p[:, 0]) / weights[0]
+    m = np.zeros(3)
+    for _ in range(20_000):
+        m += np.linalg.solve(p.T @ (n[:, None] * p), np.maximum(0, 1 - p @ m) * n @ p - t)
+    rates = np.maximum(0, 1 - p @ m)
+    rates /= rates[p[:, 0] >= p.max(1)].max()
+    assert [found[k].rate for k in range(200)] == pytest.approx(rates.tolist(), abs=2e-3) and found[0].unmet < 1e-3
+
+
+def test_rows_without_id_are_mixed_by_text(spark, tmp_path):
+    rows = [(k, f"good{k % 7} good{k % 5} fine", 1) for k in range(60)] + [(k, f"bad{k % 7} bad{k % 5} awful", 0) for k in range(60, 120)]
+    rows += [(None, "good1 good2 fine", 1), (None, "bad1 bad2 awful", 0), (None, None, 0)]
+    folder(spark.createDataFrame([(k, q, 0) for k, _, q in rows if k is not None], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    rates, domains = op8_mixing.mixing_rates(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), {"quality=1,toxic=0": 1.0})
+    found = rates.where("doc_id is null and n_tokens > 0").orderBy("p0").collect()
+    assert len(found) == 2 and found[0].rate > 0.9 and found[1].rate < 0.1 and rates.count() == len(rows)
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_with_any_column_names(spark, tmp_path, k):
+    """Columns named as inner ones come out as they went in."""
+    _, stage = corpus_pipeline.STAGES[k]
+    texts_ = ["the cat sat on the mat and the dog ran after it", "write to a.b@c.de or call +49 (30) 123-4567 today", "some other words are here for the third row"]
+    rows = [(k, texts_[k % 3] + f" number {k}", "en", 9) for k in range(12)] + [(None, texts_[0], "en", 9)]
+    names = ["_id", "_copies", "_copy", "_pairs", "_matches", "_between", "_row", "_hash", "_key", "fp", "root", "id", "label", "row", "plain", "first", "email_spans", "component_id"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    for x in names:
+        docs = docs.withColumn(x, F.concat(F.lit(f"{x} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    folder(spark.createDataFrame([(k, 1, 0) for k in range(12)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    out = stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert 0 < len(found) <= 13 and all(r[x] == f"{x} {'none' if r.doc_id is None else r.doc_id}" for r in found for x in names)
 
 
 PAGES = [
