@@ -11,8 +11,9 @@ File format, all integers little-endian:
 The folder also holds the table of ranks (ranks.parquet: id, rank) that decoding needs.
 
 Files hold at most IDS_PER_FILE ids, or one document if that is longer; documents stand in ascending
-doc_id order in a file and across files. Files are named by the range partition and the number in
-it, and written under another name first, so a task that runs again replaces its own files by equal ones.
+doc_id order in a file and across files. Spark's text writer writes them, a file a row, so any store that Spark can write will
+do, and a task that runs again commits its files once; files are in the order of the part and the number in their names, and a
+newline follows the data.
 
 Defined results: null counts as the empty text, which has the end id only; rows with equal doc_id are in
 the order of their ids' bytes, a null doc_id stands first; further columns are ignored; an empty table
@@ -21,9 +22,9 @@ gives an empty folder and an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -49,9 +50,22 @@ class WordEncoder:
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     words in order; words are cut at blanks and newlines, and their ids kept in a bounded cache.
     Words of Latin letters, lower-cased, are one pre-token each, and go to the library's BPE model
-    directly; all others go through its whole chain.
+    directly; all others go through its whole chain. A tokenizer that does other than STEPS encodes whole texts.
     """
 
+    #: What is done with a text before its model sees it, for which the above holds.
+    STEPS = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "post_processor": None,
+    }
+
     _LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
     def __init__(self, raw: bytes):
@@ -59,6 +73,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
+        read = json.loads(raw)
+        self.by_word = {k: read.get(k) for k in self.STEPS} == self.STEPS
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         letters = byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
@@ -88,6 +104,8 @@ class WordEncoder:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return np.array(self._whole(text), self.kind).tobytes()
         return b"".join(self.words.values(text.replace("\n", " ").split(" ")))
 
 
@@ -182,99 +200,95 @@ def _rank_table(counted: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]
     return rank_of, by_rank.astype(np.uint32)
 
 
-def write_files(tokens: DataFrame, folder: str, rank_of: np.ndarray, kind: np.dtype, per_file: int = IDS_PER_FILE) -> DataFrame:
-    """Write tokens (doc_id, ids) in ascending order; (name, part, number, n_ids) of each file, when run."""
+def write_files(tokens: DataFrame, folder: str, rank_of: np.ndarray, kind: np.dtype, per_file: int | None = None) -> None:
+    """Write tokens (doc_id, ids) in ascending order."""
     ranks = tokens.sparkSession.sparkContext.broadcast(rank_of)  # at most the vocabulary's size
+    per_file = per_file or IDS_PER_FILE
     ordered = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        store, root = fs.FileSystem.from_uri(folder)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids: list[int | None] = []
         parts: list[np.ndarray] = []
-        held = number = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held, number
-            name = f"tokens-{part:06d}-{number:06d}.glt"
-            rest = f"{root}/.{name}.{uuid.uuid4().hex}"
-            with store.open_output_stream(rest) as out:
-                out.write(pack_file(doc_ids, list(map(len, parts)), ranks.value[np.concatenate(parts)]))
-            store.move(rest, f"{root}/{name}")
-            row = [[name], [part], [number], [held]]
+        held = 0
+
+        def file() -> pa.RecordBatch:
+            nonlocal held
+            content = pack_file(doc_ids, list(map(len, parts)), ranks.value[np.concatenate(parts)])
             doc_ids.clear()
             parts.clear()
-            held, number = 0, number + 1
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["name", "part", "number", "n_ids"])
+            held = 0
+            return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["content"])
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = np.frombuffer(ids, kind)
                 if held and held + len(found) > per_file:
-                    yield flush()
+                    yield file()
                 doc_ids.append(doc_id)
                 parts.append(found)
                 held += len(found)
         if doc_ids:
-            yield flush()
+            yield file()
+
+    files = ordered.mapInArrow(pack, "content binary").select(F.col("content").cast("string").alias("value"))  # the bytes as they are
+    files.write.mode("overwrite").option("maxRecordsPerFile", 1).option("compression", "none").text(folder)
+
 
-    return ordered.mapInArrow(write, "name string, part long, number long, n_ids long")
+_NAME = re.compile(r"part-(\d+)-.*-c(\d+)\b")
 
 
 def read_files(spark: SparkSession, folder: str, id_of: np.ndarray) -> DataFrame:
-    """(name, doc_id, before, n_tokens, ids_crc32): before counts the ids of earlier documents in the same file."""
+    """(part, number, doc_id, before, n_tokens, ids_crc32): before counts the ids of earlier documents in the same file."""
     ids = spark.sparkContext.broadcast(id_of)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.glt").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if not len(content.as_buffer()):  # of a part without rows
+                    continue
                 doc_ids, present, counts, ranks = unpack_file(content.as_buffer())
                 values = ids.value[ranks].astype("<u4")
                 ends = np.cumsum(counts, dtype=np.int64)
                 starts = ends - counts
                 sums = [zlib.crc32(values[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                names = ["name", "doc_id", "before", "n_tokens", "ids_crc32"]
-                columns = [pa.array([path.rpartition("/")[2]] * len(counts)), pa.array(doc_ids, pa.int64(), mask=present == 0), pa.array(starts), pa.array(counts.astype(np.int64)), pa.array(sums, pa.int64())]
+                names = ["part", "number", "doc_id", "before", "n_tokens", "ids_crc32"]
+                place = (pa.array([int(x)] * len(counts), pa.int64()) for x in _NAME.search(path.rpartition("/")[2]).groups())
+                columns = [*place, pa.array(doc_ids, pa.int64(), mask=present == 0), pa.array(starts), pa.array(counts.astype(np.int64)), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return files.select("path", "content").mapInArrow(decode, "name string, doc_id long, before long, n_tokens long, ids_crc32 long")
+    return files.select("path", "content").mapInArrow(decode, "part long, number long, doc_id long, before long, n_tokens long, ids_crc32 long")
 
 
-def encode_to_files(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame, np.ndarray]:
-    """Tokenise, rank, write. (folder, table of files with the ids before each, id of each rank)."""
+def encode_to_files(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, np.ndarray]:
+    """Tokenise, rank, write. (folder of the files, id of each rank)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-files")
     kind = WordEncoder(broadcast_file(spark, path).value).kind
     tokens = scratch.save(tokenise(docs, path, end_id, id_col, text_col), "tokens")
     counted = [(r["id"], r["n"]) for r in id_counts(tokens, kind).collect()]  # at most the vocabulary's size
     rank_of, id_of = _rank_table(counted)
-    folder = f"{scratch.path}/files"
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(folder)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(target)
     spark.createDataFrame([(int(i), k) for k, i in enumerate(id_of)], "id long, rank int").coalesce(1).write.parquet(f"{scratch.path}/ranks.parquet")
-    files = scratch.save(write_files(tokens, folder, rank_of, kind), "manifest")
+    write_files(tokens, f"{scratch.path}/files", rank_of, kind)
     scratch.drop("tokens")
-    return folder, files, id_of
+    return f"{scratch.path}/files", id_of
 
 
-def with_starts(found: DataFrame, files: DataFrame) -> DataFrame:
+def with_starts(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of decoded documents; start adds up the files before.
 
     The running sum is over the table of files, which has one row for up to IDS_PER_FILE ids.
     """
+    found = scratch.save(found, "decoded")
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("name", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
-    return found.join(bases, "name").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    files = found.groupBy("part", "number").agg(F.sum("n_tokens").alias("n_ids"))
+    bases = files.select("part", "number", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
+    return found.join(bases, ["part", "number"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, files, id_of = encode_to_files(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
-    return with_starts(read_files(spark, folder, id_of), files)
+    folder, id_of = encode_to_files(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return with_starts(read_files(spark, folder, id_of), Scratch(spark, "token-starts"))
 
 
 QUERIES = {"op4_token_files": op4_token_files}

@@ -64,9 +64,11 @@ def test_token_counts(spark, docs):
     assert sorted((str(r.doc_id), r.n_tokens) for r in op2_token_counts.token_counts(docs, path).collect()) == expected
 
 
-def test_token_files(spark, docs, tmp_path):
+@pytest.mark.parametrize("per_file", [1 << 22, 50])
+def test_token_files(spark, docs, tmp_path, monkeypatch, per_file):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(op4_token_files, "IDS_PER_FILE", per_file)
     theirs = Tokenizer.from_file(public_tokenizers.path(op4_token_files.TOKENIZER))
     found = op4_token_files.op4_token_files(spark, folder(docs, tmp_path, "documents")).orderBy("start").collect()
     assert [r.doc_id for r in found] == sorted((i for i, _ in texts(docs)), key=lambda i: (i is not None, i))
@@ -78,6 +80,35 @@ def test_token_files(spark, docs, tmp_path):
         at += r.n_tokens
 
 
+def test_word_encoder():
+    """Random strings, as the library encodes them whole; and another chain, which is not cut into words."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    raw = open(public_tokenizers.path(op4_token_files.TOKENIZER), "rb").read()
+    theirs, mine, rng = Tokenizer.from_str(raw.decode()), op4_token_files.WordEncoder(raw), random.Random(2)
+    alphabet = [*" \n\t\r aZéßİΣſ漢😀'19.,!?-", " the", "Word", "'ll", "\u00a0", "\u200d", "ＡＢ", "e\u0301", "<|x|>"]
+    for _ in range(4000):
+        text = "".join(rng.choices(alphabet, k=rng.randrange(14)))
+        assert np.frombuffer(mine.encode(text), mine.kind).tolist() == theirs.encode(text, add_special_tokens=False).ids, repr(text)
+    other = json.dumps(json.loads(raw) | {"normalizer": None}).encode()
+    theirs, mine = Tokenizer.from_str(other.decode()), op4_token_files.WordEncoder(other)
+    assert not mine.by_word and np.frombuffer(mine.encode("The Cat"), mine.kind).tolist() == theirs.encode("The Cat", add_special_tokens=False).ids
+
+
+def test_token_counts_of_random_strings():
+    from tokenizers import Tokenizer
+    from tokenizers.models import Unigram
+
+    vocabulary = op2_token_counts.read_vocabulary(open(public_tokenizers.path(op2_token_counts.MODEL), "rb").read())
+    theirs, mine, rng = Tokenizer(Unigram([("<unk>", 0.0), *vocabulary], 0, False)), op2_token_counts.UnigramCounter(vocabulary), random.Random(3)
+    alphabet = [*" \n aZé漢😀'19.,-▁", "  ", " the", "tion", "ing "]
+    for _ in range(4000):
+        text = "".join(rng.choices(alphabet, k=rng.randrange(1, 14)))
+        assert mine.count(text)[0] == len(theirs.encode("▁" + text.replace(" ", "▁")).ids), repr(text)
+
+
 def test_rank_code():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 1000):
