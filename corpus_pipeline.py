@@ -23,7 +23,7 @@ STAGES = [
     ("byte_bpe", encode_stage),
 ]
 
-#: Fingerprints, prototypes and rates aren't SQL; tests/llm compares the rows with brute force.
+#: Fingerprints, prototypes and rates aren't SQL; tests/llm compares the stages' rows with plain Python, given the mixing operator's rates.
 ORACLE_SQL = None
 
 

@@ -185,9 +185,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-#: Cosines below this are no language that was learned. Unrelated trigrams give 0 +- 1 / sqrt(DIMENSIONS), about 0.02: at most 0.08 in 600 random
-#: texts each of Cyrillic and Greek letters. Of 3,209 held-out documents of check_s the least has 0.13, with 20 letters.
-LEAST_COSINE = 0.1
+#: Cosines below this are no language that was learned, for texts of up to SHORT characters and for longer ones. Unrelated trigrams give
+#: 0 +- 1 / sqrt(DIMENSIONS), about 0.02: 0.05 at the 95th percentile of random Cyrillic and Greek words, 0.08 at most. Documents of learned languages have
+#: 0.08 at least with four words (check_l), and 0.22 with 50 letters or more (held-out documents of check_s).
+SHORT, LEAST_COSINES = 100, (0.05, 0.12)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -202,7 +203,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         for batch in pieces(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             best = (_normalised(profiles.bundle(texts)) @ prototypes.T).max(1, initial=0.0)
-            yield batch.filter(pa.array((best >= LEAST_COSINE) & np.array([_has_letter(t) for t in texts], bool)))
+            least = np.where([len(t) <= SHORT for t in texts], *LEAST_COSINES)
+            yield batch.filter(pa.array((best >= least) & np.array([_has_letter(t) for t in texts], bool)))
 
     return docs.mapInArrow(keep, kinds)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from graphloom.llm import op1_html_text, op2_token_counts, op3_lattice, op4_token_files, op5_language_id, op6_byte_bpe, op7_ball_tree, op8_mixing, op9_pii, op10_simhash
 
+from . import brute_language
 from .brute_pii import base_spans, digest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, label string, kept boolean"
@@ -214,6 +215,28 @@ def test_language(spark, docs, tmp_path):
     assert found[1000].lang_pred == found[1001].lang_pred == "und"
 
 
+def test_language_against_brute_force(spark):
+    """The query's rows over a whole table, and accuracy where it wasn't learned."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()]
+    expected = {r[0]: x for r, x in zip(rows, brute_language.predict(rows))}
+    found = op5_language_id.op5_language_id(spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == len(rows)
+    for r in found:
+        lang, cosine = expected[r.doc_id]
+        assert (r.lang_pred, r.score) == (lang or "und", pytest.approx(min(1, max(0, cosine)), abs=1e-6))
+    truth = {i: lang for i, _, lang in rows}
+    held = [r for r in found if r.held_out and truth[r.doc_id] and r.lang_pred != "und"]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held) > 20
+
+
+def test_language_sample(spark):
+    """A bound on the labelled rows leaves about so many, the same ones each time."""
+    rows = [(k, "the of and with" if k % 2 else "der die und nicht", "en" if k % 2 else "de") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (op5_language_id.fit(docs.repartition(n), "text", "lang", "doc_id", 100) for n in (1, 3))
+    assert one[0] == two[0] == ["de", "en"] and (one[1] == two[1]).all()
+
+
 def vectors(spark, tmp_path):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((20, 24))
