@@ -100,3 +100,27 @@ class WordCache:
             self.kept.clear()
         self.kept.update(found if max(map(len, new)) <= self.longest else {w: v for w, v in found.items() if len(w) <= self.longest})
         return out
+
+
+class WordMap(dict):
+    """Values of words, each computed when it is first looked up by [].
+
+    When half of most is held, this half is set aside and its words come back as they are looked up, so frequent words
+    aren't computed again. Words longer than longest aren't kept.
+    """
+
+    def __init__(self, compute: Callable[[str], object], most: int = 1 << 19, longest: int = 48):
+        super().__init__()
+        self.compute, self.half, self.longest = compute, most // 2, longest
+        self.aside: dict[str, object] = {}
+
+    def __missing__(self, word: str) -> object:
+        value = self.aside.get(word)
+        if value is None:
+            value = self.compute(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.half:
+                self.aside = dict(self)
+                self.clear()
+            self[word] = value
+        return value

@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WordCache, broadcast_file, map_batches, once_per_worker, table
+from graphloom.llm.common import WordMap, broadcast_file, map_batches, once_per_worker, pieces, table
 from graphloom.llm.op6_byte_bpe import byte_letters
 from graphloom.scratch import Scratch
 
@@ -42,6 +43,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 MAGIC = b"GLTOKEN1"
 IDS_PER_FILE = 1 << 22
+#: Words whose ids a Python worker keeps, at most; about 200 bytes each.
+CACHED = 1 << 20
 
 
 class WordEncoder:
@@ -76,28 +79,31 @@ class WordEncoder:
         read = json.loads(raw)
         self.by_word = {k: read.get(k) for k in self.STEPS} == self.STEPS
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         letters = byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
-        self.ends: dict[str, list[int]] = {"": []}
-        self.words = WordCache(self._ids)
-
-    def _ids(self, words: list[str]) -> Iterator[bytes]:
-        match, cut = self._LATIN.fullmatch, self.tokenizer.model.tokenize
-        for word in words:
-            found = match(word)
-            if found:
-                head, end = found.groups()
-                ids = [t.id for t in cut(head.lower().encode().decode("latin-1").translate(self.letters))]
-                if end:
-                    ids += self.ends.get(end) or self._end(end)
-            else:
-                ids = self._whole(word)
-            yield np.array(ids, self.kind).tobytes()
-
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _end(self, end: str) -> list[int]:
+        self.words, self.heads = WordMap(self._ids, CACHED), WordMap(self._head)
+        self.ends: dict[str, bytes] = {"": b""}
+
+    def _ids(self, word: str) -> bytes:
+        found = self._LATIN.fullmatch(word)
+        if not found:
+            return self._whole(word)
+        head, end = found.groups()
+        return self.heads[head.lower()] + (self.ends.get(end) or self._end(end)) if end else self._head(head.lower())
+
+    def _head(self, head: str) -> bytes:
+        if not head.isascii():  # ASCII letters stand for themselves
+            head = head.encode().decode("latin-1").translate(self.letters)
+        return self._bytes([t.id for t in self.tokenizer.model.tokenize(head)])
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _end(self, end: str) -> bytes:
         ids = self._whole(end)
         if len(end) <= 4:
             self.ends[end] = ids
@@ -105,8 +111,8 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         if not self.by_word:
-            return np.array(self._whole(text), self.kind).tobytes()
-        return b"".join(self.words.values(text.replace("\n", " ").split(" ")))
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,8 +137,9 @@ def id_counts(tokens: DataFrame, kind: np.dtype) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                found = np.bincount(np.frombuffer(ids.as_py(), kind))
+            for column in (piece.column(0) for piece in pieces([batch])):
+                ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]  # ids are never null
+                found = np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
                 if len(found) > len(total):
                     found[: len(total)] += total
                     total = found
@@ -150,20 +157,19 @@ def encode_ranks(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = extra
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    used = np.arange(4) <= extra[:, None]
-    return control, ranks.view(np.uint8).reshape(-1, 4)[used]
+    control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
+    used = USED[control].reshape(-1)[: 4 * len(ranks)]
+    return control, ranks.view(np.uint8)[used]
 
 
-#: For each control byte, the number of bytes of its four ranks.
-LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
+#: For each control byte, which of the sixteen bytes of its four ranks are written.
+USED = np.array([[k <= (c >> s & 3) for s in (0, 2, 4, 6) for k in range(4)] for c in range(256)], bool)
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    lengths = LENGTHS[control].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < lengths[:, None]] = data
-    return out.view("<u4").reshape(-1)
+    out = np.zeros(4 * n, np.uint8)
+    out[USED[control].reshape(-1)[: 4 * n]] = data
+    return out.view("<u4")
 
 
 def pack_file(doc_ids: list[int | None], counts: list[int], ranks: np.ndarray) -> bytes:
