@@ -565,3 +565,34 @@ def test_mixing_tells_every_document_apart(spark, tmp_path):
         for step in (-0.05, 0.05):
             moved = np.array([fitted.scale, *fitted.shifts]) + step * (np.arange(4) == k)
             assert loss(moved[0], moved[1:]) > least
+
+
+def test_word_map_stays_bounded_and_computes_frequent_words_once():
+    from graphloom.llm.common import WordMap
+
+    asked: list[str] = []
+    kept = WordMap(lambda w: asked.append(w) or w.encode(), most=8, longest=5)
+    for k in range(50):
+        assert kept["often"] == b"often" and kept[f"w{k}"] == f"w{k}".encode() and kept["longer"] == b"longer"
+        assert len(kept) + len(kept.aside) <= 8 and "longer" not in kept
+    assert asked.count("often") == 1 and asked.count("longer") == 50
+
+
+def test_words_are_encoded_alike_however_often_the_cache_turns_over():
+    from graphloom.llm.common import WordMap
+
+    with open(public_tokenizers.path(op4_token_files.TOKENIZER), "rb") as f:
+        mine = op4_token_files.WordEncoder(f.read())
+    mine.words, mine.heads = WordMap(mine._ids, 4), WordMap(mine._head, 4)
+    rng = random.Random(4)
+    for _ in range(200):
+        text = " ".join(rng.choice(["the", "The", "the,", "é", "École!", "naïve?!", "x" * 60, "a1", "", "|", "日本", "I'm"]) for _ in range(30))
+        assert np.frombuffer(mine.encode(text), mine.kind).tolist() == mine.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
+def test_rank_codes_go_there_and_back(n):
+    ranks = np.random.default_rng(n).choice([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1], n).astype("<u4")
+    control, data = op4_token_files.encode_ranks(ranks)
+    assert len(control) == -(-n // 4) and len(data) == sum(max(1, -(-int(r).bit_length() // 8)) for r in ranks)
+    assert op4_token_files.decode_ranks(control, data, n).tolist() == ranks.tolist()
