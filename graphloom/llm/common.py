@@ -78,13 +78,15 @@ def broadcast_file(spark: SparkSession, path: str) -> Broadcast[bytes]:
 class WordCache:
     """Values of words, computed for many missing words at a time.
 
-    It starts afresh when full, and words longer than longest are kept for one call only, so memory
-    stays bounded by most * (longest + a value's size) and what one text itself needs.
+    When half of most is held, this half is set aside and its words come back as they are asked for, so frequent words
+    aren't computed again. Words longer than longest, and those of a call that alone would fill the half, are kept for that
+    call only, so memory stays bounded by most * (longest + a value's size) and what one text itself needs.
     """
 
     def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 1 << 19, longest: int = 48):
-        self.compute, self.most, self.longest = compute, most, longest
+        self.compute, self.half, self.longest = compute, most // 2, longest
         self.kept: dict[str, object] = {}
+        self.aside: dict[str, object] = {}
 
     def values(self, words: list[str]) -> list:
         """The value of each word, in order."""
@@ -92,13 +94,18 @@ class WordCache:
         if None not in out:
             return out
         holes = [k for k, value in enumerate(out) if value is None]
-        new = list({words[k] for k in holes})
-        found = dict(zip(new, self.compute(new)))
+        missing = {words[k] for k in holes}
+        found = {w: self.aside[w] for w in missing & self.aside.keys()}
+        new = list(missing - found.keys())
+        found.update(zip(new, self.compute(new)))
         for k in holes:
             out[k] = found[words[k]]
-        if len(self.kept) + len(found) > self.most:
-            self.kept.clear()
-        self.kept.update(found if max(map(len, new)) <= self.longest else {w: v for w, v in found.items() if len(w) <= self.longest})
+        if max(map(len, new), default=0) > self.longest:
+            found = {w: v for w, v in found.items() if len(w) <= self.longest}
+        if len(found) <= self.half:
+            if len(self.kept) + len(found) > self.half:
+                self.aside, self.kept = self.kept, {}
+            self.kept.update(found)
         return out
 
 

@@ -31,7 +31,7 @@ from graphloom.llm.common import WordCache, broadcast_file, map_batches, once_pe
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Words whose ids each of the two caches of a worker holds at most.
-CACHED = 1 << 17
+CACHED = 1 << 19
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
