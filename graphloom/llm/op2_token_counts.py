@@ -31,6 +31,8 @@ from graphloom.llm.common import WordCache, broadcast_file, map_batches, once_pe
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Words whose counts a worker holds at most.
+CACHED = 1 << 20
 
 
 def read_vocabulary(raw: bytes) -> list[tuple[str, float]]:
@@ -53,7 +55,7 @@ class UnigramCounter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
-        self.words = WordCache(lambda words: map(self.search, words))
+        self.words = WordCache(lambda words: map(self.search, words), CACHED)
 
     def search(self, text: str) -> tuple[int, float]:
         """(pieces, score) of the best path through text."""
