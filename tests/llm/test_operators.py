@@ -590,6 +590,37 @@ def test_words_are_encoded_alike_however_often_the_cache_turns_over():
         assert np.frombuffer(mine.encode(text), mine.kind).tolist() == mine.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_cache_stays_bounded_and_computes_frequent_words_once():
+    from graphloom.llm.common import WordCache
+
+    asked: list[str] = []
+    kept = WordCache(lambda words: [asked.append(w) or w.encode() for w in words], most=8, longest=6)
+    for k in range(50):
+        words = ["often", f"w{k}", "often", "too long", f"w{k}"]
+        assert kept.values(words) == [w.encode() for w in words]
+        assert len(kept.kept) <= 4 and len(kept.aside) <= 4 and "too long" not in kept.kept
+    assert asked.count("often") == 1 and asked.count("too long") == 50 and asked.count("w7") == 1
+    many = [f"m{k}" for k in range(20)]  # more than half of the cache
+    assert kept.values([*many, "often"]) == [w.encode() for w in [*many, "often"]]
+    assert len(kept.kept) <= 4 and len(kept.aside) <= 4 and kept.values([]) == []
+
+
+def test_words_are_tokenised_alike_however_often_the_cache_turns_over():
+    from graphloom.llm.common import WordCache
+
+    with open(public_tokenizers.path(op6_byte_bpe.RANK_FILE), "rb") as f:
+        one, other = op6_byte_bpe.ByteBpe(raw := f.read()), op6_byte_bpe.ByteBpe(raw)
+    with open(public_tokenizers.path(op2_token_counts.MODEL), "rb") as f:
+        first, second = (op2_token_counts.UnigramCounter(v) for v in [op2_token_counts.read_vocabulary(f.read())] * 2)
+    for cache in (one.words, one.after_blank, first.words):
+        cache.half = 4
+    rng = random.Random(5)
+    for _ in range(200):
+        text = " ".join(rng.choice(["the", "The", "the,", "é", "École!", "naïve?!", "x" * 60, "a1", "", "|", "日本", "I'm", "a\n\nb"]) for _ in range(rng.randrange(30)))
+        assert one.encode(text).tolist() == other.encode(text).tolist() and one.decode(one.encode(text).tolist()) == text.encode()
+        assert first.count(text) == second.count(text)
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
 def test_rank_codes_go_there_and_back(n):
     ranks = np.random.default_rng(n).choice([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1], n).astype("<u4")
